@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quarrymill.plans import nested_queries
+from quarrymill.plans import corpus_queries, nested_queries
 
-_MODULES = (nested_queries,)
+_MODULES = (nested_queries, corpus_queries)
 
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}
