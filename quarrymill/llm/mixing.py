@@ -19,7 +19,6 @@ columns are ignored; empty tables give empty results.
 from __future__ import annotations
 
 import base64
-import itertools
 import os
 from collections.abc import Iterator
 from functools import lru_cache
@@ -37,6 +36,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How that vocabulary's tokenizer splits text before merging. A fixed value.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 BLOCK, SEED = 4096, 11
+LANDING = 12  # rows a source whose rounding is decided together at the end
 
 
 @lru_cache(maxsize=2)
@@ -69,9 +69,9 @@ def fold(column):
     return F.when(f != "", f)
 
 
-def flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """The flight phase for the constraints (rows, tokens): all but at most two probabilities end at 0 or 1, their
-    sum and their token-weighted sum stay as they were, and each keeps its expectation."""
+def flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator, keep: int = 2) -> np.ndarray:
+    """The flight phase for the constraints (rows, tokens): all but at most ``keep`` (2 at least) probabilities end at
+    0 or 1, their sum and their token-weighted sum stay as they were, and each keeps its expectation."""
     p = p.copy()
     eps = 1e-12
     queue = [i for i in range(len(p)) if eps < p[i] < 1 - eps]
@@ -83,7 +83,7 @@ def flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndar
         while len(held) < 3 and at < len(queue):
             held.append(queue[at])
             at += 1
-        if len(held) < 3:
+        if len(held) < 3 or len(held) + len(queue) - at <= keep:
             break
         a, b, c = held
         u = [s[c] - s[b], s[a] - s[c], s[b] - s[a]]
@@ -103,13 +103,14 @@ def flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndar
 
 
 def landing(p: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Rounds the few fractional probabilities so that tokens, then rows, are missed least."""
+    """Rounds the few fractional probabilities so that tokens, then rows, are missed least: all roundings are tried."""
     p = p.copy()
-    left = [i for i in range(len(p)) if 0.0 < p[i] < 1.0]
-    if left:
-        want_t, want_n = float((p[left] * size[left]).sum()), float(p[left].sum())
-        best = min(itertools.product((0.0, 1.0), repeat=len(left)), key=lambda x: (abs(sum(a * size[i] for a, i in zip(x, left)) - want_t), abs(sum(x) - want_n)))
-        p[left] = best
+    left = np.flatnonzero((p > 0.0) & (p < 1.0))
+    if len(left):
+        tries = (np.arange(1 << len(left))[:, None] >> np.arange(len(left))) & 1
+        miss_t = np.abs(tries @ size[left] - (p[left] * size[left]).sum())
+        miss_n = np.abs(tries.sum(axis=1) - p[left].sum())
+        p[left] = tries[np.lexsort((miss_n, np.round(miss_t, 6)))[0]]
     return p
 
 
@@ -122,7 +123,7 @@ def _fly(level: int, seed: int, last: bool):
         digest = int(pd.util.hash_array(np.array([f"{key[0]}|{key[1]}|{level}|{seed}"], dtype=object))[0])
         rng = np.random.default_rng(digest)
         size = rows["n_tokens"].to_numpy()
-        p = flight(rows["p"].to_numpy(), size, rng)
+        p = flight(rows["p"].to_numpy(), size, rng, LANDING if last else 2)
         rows["p"] = landing(p, size) if last else p
         return rows
 
@@ -190,9 +191,7 @@ def mixed_rows(documents: DataFrame, targets: DataFrame, *, vocabulary: str = VO
     return rows.join(drawn, "row", "left").select("row", "doc_id", "source", "n_tokens", (F.col("whole") + F.coalesce("extra", F.lit(0))).cast("int").alias("n_copies"))
 
 
-def mix_report(documents: DataFrame, targets: DataFrame, **options) -> DataFrame:
-    """One row per target: its share wanted and reached, rows and tokens there and used, and repeats."""
-    rows = mixed_rows(documents, targets, **options)
+def _report(rows: DataFrame, targets: DataFrame) -> DataFrame:
     per = rows.groupBy("source").agg(
         F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.sum((F.col("n_copies") > 0).cast("long")).alias("docs_used"),
         F.sum(F.col("n_copies").cast("long")).alias("rows_used"), F.sum(F.col("n_copies") * F.col("n_tokens")).alias("tokens_used"), F.max("n_copies").alias("most_copies"),
@@ -203,3 +202,15 @@ def mix_report(documents: DataFrame, targets: DataFrame, **options) -> DataFrame
         clean_targets(targets).join(per, "source", "left").na.fill(zero).crossJoin(F.broadcast(total))
         .select("source", "target_share", F.round(F.coalesce(F.try_divide("tokens_used", "all_tokens"), F.lit(0.0)), 9).alias("actual_share"), "max_repeats", *zero)
     )
+
+
+def mix_report(documents: DataFrame, targets: DataFrame, **options) -> DataFrame:
+    """One row per target: its share wanted and reached, rows and tokens there and used, and repeats."""
+    return _report(mixed_rows(documents, targets, **options), targets)
+
+
+def mixed_with_shares(documents: DataFrame, targets: DataFrame, **options) -> DataFrame:
+    """The mix itself: every used row with its copies, and the share of its source wanted and reached."""
+    rows = cut_lineage(mixed_rows(documents, targets, **options))
+    shares = _report(rows, targets).select("source", "target_share", "actual_share")  # one row a target
+    return rows.where("n_copies > 0").join(F.broadcast(shares), "source").select("doc_id", "source", "n_tokens", "n_copies", "target_share", "actual_share")

@@ -50,11 +50,11 @@ def p5_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_mix(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mix_report(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    return mixing.mixed_with_shares(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
 
-def p6_rows(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mixed_rows(table(spark, d, "documents"), table(spark, d, "mix_targets")).where("n_copies > 0").select("doc_id", "source", "n_tokens", "n_copies")
+def p6_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix_report(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -65,7 +65,7 @@ def p7_measures(spark: SparkSession, d: str) -> DataFrame:
     return quality.document_quality(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_defects, p3_found, p3_sources, p4_found, p4_groups, p5_found, p5_items, p6_mix, p6_rows, p7_found, p7_measures)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_defects, p3_found, p3_sources, p4_found, p4_groups, p5_found, p5_items, p6_mix, p6_shares, p7_found, p7_measures)}
 
 #: DuckDB SQL. p4 and p5 are given as their definition; the others have no SQL (see tests/llm).
 SQL = {
