@@ -39,11 +39,13 @@ def repeated_paths(schema: T.DataType, prefix: str = "") -> list[str]:
     return list(dict.fromkeys(out))
 
 
-def leaf_columns(schema: T.DataType, value: Column, prefix: str = "") -> list[Column]:
-    """The leaves below ``value`` that aren't repeated, named by their path with underscores."""
+def leaf_columns(schema: T.DataType, value: Column, taken: list[str], owner: str, prefix: str = "") -> list[Column]:
+    """The leaves below ``value`` that aren't repeated, named by their path with underscores; a name that is taken by
+    a key column gets its owner's name in front."""
     if isinstance(schema, T.StructType):
-        return [c for f in schema.fields for c in leaf_columns(f.dataType, value.getField(f.name), f"{prefix}_{f.name}" if prefix else f.name)]
-    return [] if isinstance(schema, T.ArrayType) else [value.alias(prefix or "value")]
+        return [c for f in schema.fields for c in leaf_columns(f.dataType, value.getField(f.name), taken, owner, f"{prefix}_{f.name}" if prefix else f.name)]
+    name = prefix or "value"
+    return [] if isinstance(schema, T.ArrayType) else [value.alias(f"{owner}_{name}" if name in taken else name)]
 
 
 def shred(df: DataFrame, key: str) -> dict[str, DataFrame]:
@@ -52,7 +54,7 @@ def shred(df: DataFrame, key: str) -> dict[str, DataFrame]:
     A table's key is ``key`` and one ordinal ``pos_<k>`` per repeated ancestor on its path, counted from 0; its other
     columns are the group's leaves. Null entries keep their ordinal with null leaves.
     """
-    root = df.select(F.col(key), *[c for f in df.schema.fields if f.name != key for c in leaf_columns(f.dataType, F.col(f.name), f.name)])
+    root = df.select(F.col(key), *[c for f in df.schema.fields if f.name != key for c in leaf_columns(f.dataType, F.col(f.name), [key], "root", f.name)])
     tables = {"": root}
 
     def walk(frame: DataFrame, keys: list[str], value: Column, schema: T.DataType, path: str) -> None:
@@ -62,7 +64,7 @@ def shred(df: DataFrame, key: str) -> dict[str, DataFrame]:
         elif isinstance(schema, T.ArrayType):
             pos, item = f"pos_{len(keys) - 1}", "item_"
             opened = frame.select(*keys, F.posexplode(value).alias(pos, item))
-            tables[path] = opened.select(*keys, pos, *leaf_columns(schema.elementType, F.col(item)))
+            tables[path] = opened.select(*keys, pos, *leaf_columns(schema.elementType, F.col(item), [*keys, pos], path.rpartition(".")[2]))
             walk(opened, [*keys, pos], F.col(item), schema.elementType, path)
 
     for f in df.schema.fields:
