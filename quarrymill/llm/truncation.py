@@ -280,7 +280,7 @@ def size_limits(values: DataFrame, *, min_count: int = 5, factor: float = 6.0, r
     )
 
 
-def judge(values: DataFrame, counts: DataFrame, *, fragment: float = 0.5, rare_end: float = 0.004, casual_sources: float = 0.6) -> DataFrame:
+def judge(values: DataFrame, counts: DataFrame, *, fragment: float = 0.5, rare_end: float = 0.004, casual_sources: float = 0.6, evidence: int = 30) -> DataFrame:
     """Adds ``cut`` to rows of kind 'v' (one per id, msg_pos and field) from the corpus' own statistics.
 
     * unclosed at a size limit of its source: cut;
@@ -288,7 +288,8 @@ def judge(values: DataFrame, counts: DataFrame, *, fragment: float = 0.5, rare_e
     * a casual question that ends with a common word that ends sentences in less than ``rare_end`` of its
       occurrences: cut;
     * a sentence without terminator: cut, unless the share of such values in its source, role and field is above
-      ``casual_sources`` (a source that never writes terminators); then only the tests above count.
+      ``casual_sources`` over at least ``evidence`` values (a source that never writes terminators); then only the
+      tests above count.
     """
     values = values.drop("total", "ending").dropDuplicates(["id", "msg_pos", "field"])
     limits = size_limits(values)
@@ -296,7 +297,7 @@ def judge(values: DataFrame, counts: DataFrame, *, fragment: float = 0.5, rare_e
     ends = soft.where(F.col("word") != "").groupBy("word").agg(F.count("*").alias("as_end"))
     known = counts.groupBy("word").agg(F.sum("total").alias("total"), F.sum("ending").alias("ending")).join(ends, "word")
     key = ["source", "role", "field"]
-    base = values.where(F.col("reason").isin("terminator", "sentence")).groupBy(*key).agg(F.avg((F.col("reason") == "sentence").cast("double")).alias("unterminated"))
+    base = values.where(F.col("reason").isin("terminator", "sentence")).groupBy(*key).agg(F.avg((F.col("reason") == "sentence").cast("double")).alias("unterminated"), F.count("*").alias("n_prose")).where(F.col("n_prose") >= evidence)
     rest = F.col("total") - F.col("as_end")
     return (
         soft.join(limits, ["source", "field", "n_chars"], "left")
