@@ -148,7 +148,14 @@ def extends(question: str, answer: str, raw: str, at_least: int = 12) -> bool:
         return False
     rest = CODE.sub("", raw).strip()
     end = max(rest.rfind("?"), rest.rfind("？"))
-    return len(words(rest[end + 1 :])) <= 3 if end >= 0 else len(answer) - len(question) < 400
+    if end >= 0:
+        return len(words(rest[end + 1 :])) <= 3
+    passed, n = 0, question.count(" ") + 1
+    for k, paragraph in enumerate(parts := rest.split("\n\n")):  # a request without question mark ends its paragraph
+        passed += len(words(paragraph))
+        if passed >= n:
+            return k == len(parts) - 1
+    return True
 
 
 def language(text: str | None, found: list[str] | None = None, least: int = 3) -> str | None:
