@@ -27,11 +27,11 @@ def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataF
     Range partitioning plus per-partition counts; the only rows in one task are the partitions' counts.
     """
     key = F.struct(*order)
-    ranged = df.withColumn("_k", key).repartitionByRange("_k").withColumn("_p", F.spark_partition_id())
-    sizes = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
-    start = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_s"))
-    within = ranged.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy("_k")) - 1)
-    return within.join(F.broadcast(start), "_p").withColumn(name, F.col("_s") + F.col("_r")).drop("_k", "_p", "_s", "_r")
+    ranged = df.withColumn("__key", key).repartitionByRange("__key").withColumn("__range", F.spark_partition_id())
+    sizes = ranged.groupBy("__range").agg(F.count("*").alias("__size"))
+    start = sizes.select("__range", (F.sum("__size").over(Window.orderBy("__range")) - F.col("__size")).alias("__start"))
+    within = ranged.withColumn("__within", F.row_number().over(Window.partitionBy("__range").orderBy("__key")) - 1)
+    return within.join(F.broadcast(start), "__range").withColumn(name, F.col("__start") + F.col("__within")).drop("__key", "__range", "__start", "__within")
 
 
 def capped_per_group(df: DataFrame, group: str, key: str, limit: int | None, seed: int, limits: DataFrame | None = None) -> DataFrame:
