@@ -37,16 +37,22 @@ def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataF
 def capped_per_group(df: DataFrame, group: str, key: str, limit: int | None, seed: int, limits: DataFrame | None = None) -> DataFrame:
     """At most ``limit`` rows a group, drawn by ticket; ``limits(group, n)`` gives a limit a group (null: all).
 
-    A group's candidates are cut down before the shuffle to the tickets below a safe bound when it is far larger than
-    its limit, which keeps a hot group from being sorted whole; the final rank is exact.
+    With one limit, each task keeps its own best ``limit`` rows of a group before the shuffle (a rank limit that
+    Catalyst pushes below the exchange), so a hot group is never sorted whole. With limits by group, rows are first
+    cut to twice their limit's share of the group plus a margin by the ticket's value, which is uniform; a group in
+    which the cut leaves too few rows (as good as impossible) keeps them all.
     """
-    t = df.withColumn("_t", ticket(seed, key))
-    if limits is not None:
-        t = t.join(F.broadcast(limits.select(F.col(limits.columns[0]).alias(group), F.col(limits.columns[1]).alias("_n"))), group)
-    else:
-        t = t.withColumn("_n", F.lit(limit))
-    ranked = t.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy("_t", key)))
-    return ranked.where(F.col("_n").isNull() | (F.col("_r") <= F.col("_n"))).drop("_t", "_r", "_n")
+    t = df.withColumn("__t", ticket(seed, key))
+    w = Window.partitionBy(group).orderBy("__t", key)
+    if limits is None:
+        return t.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= limit).drop("__t", "__r")
+    n = limits.select(F.col(limits.columns[0]).alias(group), F.col(limits.columns[1]).cast("long").alias("__n"))
+    sizes = df.groupBy(group).agg(F.count("*").alias("__all")).join(n, group).withColumn("__share", F.when(F.col("__n").isNotNull(), (2 * F.col("__n") + 50) / F.col("__all")))
+    u = unit(seed, key)
+    near = t.withColumn("__u", u).join(sizes, group).withColumn("__in", F.col("__share").isNull() | (F.col("__u") < F.col("__share")))
+    kept = near.where("__in").groupBy(group).agg(F.count("*").alias("__have"))
+    ranked = near.join(kept, group, "left").where(F.col("__in") | (F.coalesce("__have", F.lit(0)) < F.least("__n", "__all"))).withColumn("__r", F.row_number().over(w))
+    return ranked.where(F.col("__n").isNull() | (F.col("__r") <= F.col("__n"))).select(*df.columns)
 
 
 def train_test(df: DataFrame, key: str, *, share: float = 0.05, seed: int = 42) -> DataFrame:

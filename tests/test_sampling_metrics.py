@@ -27,6 +27,14 @@ def test_quota_caps_and_redistributes(spark):
     assert sum(r.quota for r in O.largest_remainder(df, "g", "n", 1000).collect()) == 103
 
 
+def test_caps_by_group(spark):
+    df = spark.range(4000).select(F.when(F.col("id") < 3900, "hot").otherwise("cold").alias("g"), "id")
+    one = O.capped_per_group(df, "g", "id", 7, 1)
+    assert rows(one.groupBy("g").count()) == [("cold", 7), ("hot", 7)]
+    by = O.capped_per_group(df, "g", "id", None, 1, spark.createDataFrame([("hot", 7), ("cold", None)], "g STRING, n INT"))
+    assert rows(by.where("g = 'hot'"), "id") == rows(one.where("g = 'hot'"), "id") and by.where("g = 'cold'").count() == 100 and by.columns == df.columns
+
+
 def test_epochs_pad_by_wrapping(spark):
     df = spark.range(10).withColumnRenamed("id", "k")
     s = O.shards_of_epochs(df, "k", epochs=2, ranks=4, seed=1)
