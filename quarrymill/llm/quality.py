@@ -132,8 +132,8 @@ def junk_reason(lines: list[str], found: list[str], common: int, table: bool) ->
         return None
     tokens = body.split()
     low = [w for w in found if w.isalpha()]
-    readable = len(low) >= 8 and common >= 0.1 * len(low)
     per_token = solid / len(tokens)
+    readable = len(low) >= 8 and common >= 0.1 * len(low) and per_token < 20  # pieces of a blob may look like words
     n_wide = len(WIDE.findall(body)) if not body.isascii() else 0
     if not body.isascii() and len(WRECK.findall(body)) > 0.03 * solid:
         return "wrecked"
