@@ -100,11 +100,15 @@ def table_stats(scores: DataFrame, edges: DataFrame) -> DataFrame:
 # --- token distributions -----------------------------------------------------------------------------------------------
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once a row, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def softmax(x: Column) -> Column:
-    top = F.array_max(x)
-    e = F.transform(x, lambda v: F.exp(v.cast("double") - top.cast("double")))
-    total = F.aggregate(e, F.lit(0.0), lambda s, v: s + v)
-    return F.transform(e, lambda v: v / total)
+    """Probabilities of an array of logits; null for null. Top and total are computed once a row."""
+    shifted = let(F.array_max(x).cast("double"), lambda top: F.transform(x, lambda v: F.exp(v.cast("double") - top)))
+    return let(shifted, lambda e: let(F.aggregate(e, F.lit(0.0), lambda s, v: s + v), lambda total: F.transform(e, lambda v: v / total)))
 
 
 def expected_acceptance(p: Column, q: Column) -> Column:
@@ -116,7 +120,7 @@ def tail_entropy(p: Column) -> Column:
     """Entropy of listed probabilities with all the rest in one bucket; never below 0."""
     h = F.aggregate(p, F.lit(0.0), lambda s, v: s - F.when(v > 0, v * F.log(v)).otherwise(0.0))
     rest = F.greatest(F.lit(0.0), 1 - F.aggregate(p, F.lit(0.0), lambda s, v: s + v))
-    return F.greatest(F.lit(0.0), h - F.when(rest > 0, rest * F.log(rest)).otherwise(0.0))
+    return let(rest, lambda r: F.greatest(F.lit(0.0), h - F.when(r > 0, r * F.log(r)).otherwise(0.0)))
 
 
 def kl_divergence(p: Column, q: Column) -> Column:
@@ -125,5 +129,4 @@ def kl_divergence(p: Column, q: Column) -> Column:
 
 def mixed_loss(acceptance: Column, divergence: Column, *, scale: float = 1.0, decay: float = 2.0) -> Column:
     """w KL + (1 - w)(1 - acceptance) with w = scale exp(-decay acceptance)."""
-    w = scale * F.exp(-decay * acceptance)
-    return w * divergence + (1 - w) * (1 - acceptance)
+    return let(scale * F.exp(-decay * acceptance), lambda w: w * divergence + (1 - w) * (1 - acceptance))

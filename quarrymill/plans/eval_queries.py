@@ -283,7 +283,7 @@ def acceptance_of_vectors(spark: SparkSession, d: str) -> DataFrame:
     """Expected acceptance, divergence, entropy and mixed loss of neighbouring vectors as distributions."""
     e = table(spark, d, "embeddings").select("vec_id", S.softmax(F.col("embedding")).alias("p"))
     q = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("p").alias("q"))
-    j = e.join(q, "vec_id").select("vec_id", S.expected_acceptance(F.col("p"), F.col("q")).alias("a"), S.kl_divergence(F.col("p"), F.col("q")).alias("k"), S.tail_entropy(F.slice("p", 1, 32)).alias("h"))
+    j = e.join(q, "vec_id").select("vec_id", "p", "q").select("vec_id", S.expected_acceptance(F.col("p"), F.col("q")).alias("a"), S.kl_divergence(F.col("p"), F.col("q")).alias("k"), S.tail_entropy(F.slice("p", 1, 32)).alias("h"))
     return j.select("vec_id", F.round("a", 6).alias("acceptance"), F.round("k", 6).alias("divergence"), F.round("h", 6).alias("entropy"), F.round(S.mixed_loss(F.col("a"), F.col("k")), 6).alias("loss"))
 
 

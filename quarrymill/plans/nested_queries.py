@@ -41,7 +41,7 @@ WITH {_ONCE},
 m AS (SELECT id, tools, unnest(conversations) AS m, generate_subscripts(conversations, 1) - 1 AS msg_pos FROM c),
 k AS (SELECT id AS rec_id, tools, msg_pos, unnest(m.tool_calls) AS call, generate_subscripts(m.tool_calls, 1) - 1 AS item_pos FROM m WHERE len(m.tool_calls) > 0)
 SELECT rec_id, CAST(msg_pos AS INTEGER) AS msg_pos, CAST(item_pos AS INTEGER) AS item_pos, coalesce(call.id, '') AS item_key, call."function".name AS function_name, call."function".arguments AS arguments,
-CAST(coalesce(list_position(list_transform(tools, lambda t: t."function".name), call."function".name), 0) - 1 AS INTEGER) AS tool_pos FROM k WHERE call IS NOT NULL
+CASE WHEN call."function".name IS NULL THEN -1 ELSE CAST(coalesce(list_position(list_transform(tools, lambda t: t."function".name), call."function".name), 0) - 1 AS INTEGER) END AS tool_pos FROM k WHERE call IS NOT NULL
 """,
     "p2_tools": f"""
 WITH {_ONCE},
