@@ -48,11 +48,11 @@ REFUSALS = [
 
 #: Function words by language. Fixed values.
 FUNCTION_WORDS = {
-    "en": "the a an of and in to is that this it for on with as by are was be if when which each every another our one same after before how why what should can you not but there we",
-    "de": "der die das den dem ein eine und nicht nur sondern auch mit von zu im ist es sich dass wenn weil obwohl während nachdem bei nach alle viele einige manche diese unsere werden warum wie kann ich ohne vor seit",
-    "fr": "le la les un une des et est que qui dans pour sur avec ne pas nos ces certains quelques plusieurs lorsque avant après dès bien de du au aux il on en sans mais pourquoi comment",
-    "es": "el la los las un una y que de en con para por no se es nuestros estos muchos algunos varios cuando si aunque desde después sin pero qué cómo puedo pocas veces durante del al",
-    "ru": "и в на не что с по при эти такие все многие некоторые наши когда если хотя пока только без после как почему а к из за от до для",
+    "en": "the a an of and in to is that this it for on with as by are was be if when which each every another our one same after before how why what should can you not but there we near without within by until while because so near i me if",
+    "de": "der die das den dem ein eine und nicht nur sondern auch mit von zu im ist es sich dass wenn weil obwohl während nachdem bei nach alle viele einige manche diese unsere werden warum wie kann ich ohne vor seit bitte weshalb wieso trotz über unter durch um aus als auch noch nur hat haben wird wurde",
+    "fr": "le la les un une des et est que qui dans pour sur avec ne pas nos ces certains quelques plusieurs lorsque avant après dès bien de du au aux il on en sans mais pourquoi comment tu vous nous cette cet leur leurs quel quelle sous depuis souvent",
+    "es": "el la los las un una y que de en con para por no se es nuestros estos muchos algunos varios cuando si aunque desde después sin pero qué cómo puedo pocas veces durante del al estas nuestras tras hasta entre según sobre cada tú usted",
+    "ru": "и в на не что с по при эти такие все многие некоторые наши когда если хотя пока только без после как почему а к из за от до для мы вы они бы ли же уже ещё со некоторых такие многие",
     "it": "il lo gli una e che di con per non si è della nel alcuni molti questi quando perché come dopo prima senza anche sono del dei",
     "pt": "o os as um uma e que de em com para por não se é do da dos das nossos estes muitos alguns quando porque como depois sem também são",
 }
@@ -158,7 +158,7 @@ def extends(question: str, answer: str, raw: str, at_least: int = 12) -> bool:
     return True
 
 
-def language(text: str | None, found: list[str] | None = None, least: int = 3) -> str | None:
+def language(text: str | None, found: list[str] | None = None, least: int = 2) -> str | None:
     """The language that most of the prose of ``text`` is in; None for code, values and texts too short to tell.
 
     ``found``: the words of the text, if the caller has them."""
@@ -178,8 +178,8 @@ def language(text: str | None, found: list[str] | None = None, least: int = 3) -
         for k in KNOWN[w]:
             score[k] += n
     first, second = sorted(score.values(), reverse=True)[:2]
-    if first < least or first < 1.3 * second:
-        return None
+    if first < least or first < 1.3 * second or first < 4 and first < 2 * second + 1:
+        return None  # too little, or too mixed, to tell; short texts need a clearer lead
     return max(score, key=score.__getitem__)
 
 
