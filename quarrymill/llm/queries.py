@@ -65,10 +65,20 @@ def p7_measures(spark: SparkSession, d: str) -> DataFrame:
     return quality.document_quality(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_defects, p3_found, p3_sources, p4_found, p4_groups, p5_found, p5_items, p6_mix, p6_shares, p7_found, p7_measures)}
+def p7_words(spark: SparkSession, d: str) -> DataFrame:
+    """The measures of wording that SQL can express."""
+    return quality.document_quality(table(spark, d, "documents")).select("doc_id", "n_words", "mean_word_length", "punctuated_lines")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_defects, p3_found, p3_sources, p4_found, p4_groups, p5_found, p5_items, p6_mix, p6_shares, p7_found, p7_measures, p7_words)}
 
 #: DuckDB SQL. p4 and p5 are given as their definition; the others have no SQL (see tests/llm).
 SQL = {
+    "p7_words": r"""
+WITH w AS (SELECT doc_id, text, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\S')) AS l FROM documents)
+SELECT doc_id, CASE WHEN len(l) > 0 THEN len(w) ELSE 0 END AS n_words, CASE WHEN len(w) > 0 THEN round_even(list_sum(list_transform(w, lambda x: length(x))) / len(w), 6) ELSE 0.0 END AS mean_word_length,
+CASE WHEN len(l) > 0 THEN round_even(len(list_filter(l, lambda x: regexp_matches(rtrim(x), '[.?!。？！…]["''»”)\]` ]*$'))) / len(l), 6) ELSE 0.0 END AS punctuated_lines FROM w
+""",
     "p5_found": r"""
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
 e AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM eval_items WHERE text IS NOT NULL),
