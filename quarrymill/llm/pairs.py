@@ -19,12 +19,11 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrymill.llm.truncation import _ARROW, FLUSH, SCHEMA, EndCounts, judge, to_batches, value_row
-from quarrymill.llm.words import WORD, lcs_length, messages, rows_of, runs, words
+from quarrymill.llm.truncation import judge, scan_texts
+from quarrymill.llm.words import lcs_length, runs, words
 from quarrymill.session import cut_lineage
 
 #: Answers that say nothing, as words. Fixed values.
@@ -218,30 +217,15 @@ def pairs_of(roles: list, contents: list) -> Iterator[tuple[int, int]]:
         yield user, reply
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def rows() -> Iterator[tuple]:
-        counts = EndCounts()
-        for record, roles, contents in rows_of(batches, "id", "role", "content"):
-            if not roles:
-                continue
-            for pos, role in enumerate(roles):
-                value = contents[pos]
-                if role in ("user", "assistant", "tool") and value and not value.isspace():
-                    yield value_row(record, pos, "content", role, value)
-                    counts.add(value)
-            for user, reply in pairs_of(roles, contents):
-                # a pair's row: n_chars holds the position of the answer, state the defect
-                yield ("p", record, user, None, None, None, reply, pair_defect(contents[user], contents[reply]), None, None, None, None)
-            if len(counts.held) > FLUSH:
-                yield from counts.rows()
-        yield from counts.rows()
-
-    yield from to_batches(rows(), _ARROW)
+def _pair_rows(record: str, roles: list, contents: list) -> Iterator[tuple]:
+    for user, reply in pairs_of(roles, contents):
+        # a pair's row: n_chars holds the position of the answer, state the defect
+        yield ("p", record, user, None, None, None, reply, pair_defect(contents[user], contents[reply]), None, None, None, None)
 
 
 def broken_pairs(conversations: DataFrame) -> DataFrame:
     """(id, user_pos, defect) of every pair with a useless answer."""
-    scanned = cut_lineage(messages(conversations, fields=("role", "content")).mapInArrow(_scan, SCHEMA))
+    scanned = cut_lineage(scan_texts(conversations, _pair_rows, fields=("content",)))
     cut = judge(scanned.where("kind = 'v'"), scanned.where("kind = 'w'")).where("cut").select("id", F.col("msg_pos").alias("pos"), "role")
     pairs = scanned.where("kind = 'p'").select("id", F.col("msg_pos").alias("user_pos"), F.col("n_chars").alias("answer_pos"), F.col("state").alias("found")).dropDuplicates(["id", "user_pos"])
     answers = cut.where("role = 'assistant'").select("id", F.col("pos").alias("answer_pos"), F.lit(True).alias("answer_cut"))

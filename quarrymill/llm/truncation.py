@@ -14,10 +14,10 @@ from __future__ import annotations
 import json
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrymill.llm.words import messages, rows_of, source_of
@@ -185,11 +185,13 @@ def end_state(value: str) -> tuple[str, str, str]:
     return OPEN, "sentence", end
 
 
-#: kind 'v': a value; kind 'w': how often a word occurred, and how often as the end of a sentence.
+#: kind 'v': a value; kind 'w': how often a word occurred, and how often as the end of a sentence (with an id: in one
+#: delivery of that conversation).
 SCHEMA = "kind string, id string, msg_pos int, field string, source string, role string, n_chars int, state string, reason string, word string, total long, ending long"
 _ARROW = pa.schema([("kind", pa.string()), ("id", pa.string()), ("msg_pos", pa.int32()), ("field", pa.string()), ("source", pa.string()), ("role", pa.string()), ("n_chars", pa.int32()), ("state", pa.string()), ("reason", pa.string()), ("word", pa.string()), ("total", pa.int64()), ("ending", pa.int64())])
 
 FLUSH = 200_000  # words held by a task before partial counts are passed on
+SLOTS = 1 << 23  # bits of the bitmap of redelivered ids (1 MB)
 
 
 class EndCounts:
@@ -207,7 +209,8 @@ class EndCounts:
     def add(self, value: str) -> None:
         self.held.update(value.lower().split())
 
-    def rows(self) -> Iterator[tuple]:
+    def rows(self, record: str | None = None) -> Iterator[tuple]:
+        """What is held, as rows; ``record``: the id, where the counts are those of one delivery of it."""
         total: Counter[str] = Counter()
         ending: Counter[str] = Counter()
         for blank_free, n in self.held.items():
@@ -220,7 +223,7 @@ class EndCounts:
                 ending[found[-1]] += n
         self.held.clear()
         for w, n in total.items():
-            yield ("w", None, None, None, None, None, None, None, None, w, n, ending.get(w, 0))
+            yield ("w", record, None, None, None, None, None, None, None, w, n, ending.get(w, 0))
 
 
 def value_row(record: str, pos: int, field: str, role: str, value: str) -> tuple:
@@ -239,27 +242,57 @@ def to_batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 20_000) ->
         yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*held), schema)], schema=schema)
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def rows() -> Iterator[tuple]:
-        counts = EndCounts()
-        for record, roles, contents, thoughts in rows_of(batches, "id", "role", "content", "reasoning_content"):
-            for pos, role in enumerate(roles or []):
-                if role not in ("user", "assistant", "tool"):
-                    continue
-                for field, value in (("content", contents[pos]), ("reasoning_content", thoughts[pos])):
-                    if value and not value.isspace():
-                        yield value_row(record, pos, field, role, value)
-                        counts.add(value)
-            if len(counts.held) > FLUSH:
-                yield from counts.rows()
-        yield from counts.rows()
-
-    yield from to_batches(rows(), _ARROW)
+def slot(record_id: str = "id") -> Column:
+    """The place of an id in the bitmap of ``repeated_slots``."""
+    return F.pmod(F.xxhash64(record_id), F.lit(SLOTS)).cast("int")
+
+
+def repeated_slots(records: DataFrame) -> bytes:
+    """A bitmap of fixed size with a bit for every id that occurs more than once. Other ids may share a bit: it only
+    tells which rows must name their id with their counts. Reads the ids alone and shuffles their hashes."""
+    twice = records.groupBy(F.xxhash64("id").alias("h")).agg(F.count("*").alias("n")).where("n > 1").select(F.pmod("h", F.lit(SLOTS)).cast("int").alias("at"))
+    parts = twice.groupBy(F.shiftright("at", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("at").bitwiseAND(F.lit(32767)).cast("long")).alias("bits"))
+    out = bytearray(SLOTS // 8)
+    for part, bits in parts.toLocalIterator():
+        out[part * 4096 : (part + 1) * 4096] = bits
+    return bytes(out)
+
+
+def scan_texts(conversations: DataFrame, extra: Callable[..., Iterator[tuple]] | None = None, fields: tuple[str, ...] = ("content", "reasoning_content")) -> DataFrame:
+    """One pass over the texts: a small row for each value, partial word counts, and the rows that ``extra`` makes of
+    (id, roles, contents). Ids that may be redelivered get counts of their own, which ``judge`` takes once."""
+    texts = messages(conversations, fields=("role", *fields)).withColumn("slot", slot())
+    sent = conversations.sparkSession.sparkContext.broadcast(repeated_slots(messages(conversations, fields=()).select("id")))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            repeated, counts, single = sent.value, EndCounts(), EndCounts()
+            for record, at, roles, *values in rows_of(batches, "id", "slot", "role", *fields):
+                again = repeated[at >> 3] >> (at & 7) & 1
+                held = single if again else counts
+                for pos, role in enumerate(roles or []):
+                    if role not in ("user", "assistant", "tool"):
+                        continue
+                    for field, column in zip(fields, values):
+                        if (value := column[pos]) and not value.isspace():
+                            yield value_row(record, pos, field, role, value)
+                            held.add(value)
+                if extra and roles:
+                    yield from extra(record, roles, values[0])
+                if again:
+                    yield from single.rows(record)
+                elif len(counts.held) > FLUSH:
+                    yield from counts.rows()
+            yield from counts.rows()
+
+        yield from to_batches(rows(), _ARROW)
+
+    return texts.mapInArrow(scan, SCHEMA)
 
 
 def value_ends(conversations: DataFrame) -> DataFrame:
-    """One pass over the texts: a small row for each value, and partial word counts."""
-    return messages(conversations).mapInArrow(_scan, SCHEMA)
+    """One pass over the texts: a small row for each value, and word counts."""
+    return scan_texts(conversations)
 
 
 def size_limits(values: DataFrame, *, min_count: int = 5, factor: float = 6.0, reach: int = 25) -> DataFrame:
@@ -292,6 +325,7 @@ def judge(values: DataFrame, counts: DataFrame, *, fragment: float = 0.5, rare_e
       tests above count.
     """
     values = values.drop("total", "ending").dropDuplicates(["id", "msg_pos", "field"])
+    counts = counts.where("id IS NULL").unionByName(counts.where("id IS NOT NULL").dropDuplicates(["id", "word"]))
     limits = size_limits(values)
     soft = values.where(F.col("state") != CLOSED)
     ends = soft.where(F.col("word") != "").groupBy("word").agg(F.count("*").alias("as_end"))

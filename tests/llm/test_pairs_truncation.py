@@ -93,3 +93,11 @@ def test_copy_of_a_question_that_was_cut_later(conversations):
     whole = "Some background first. The ledger drains the anchor near the window of the other shard each night. " + Q
     df = conversations([("a", [message("user", whole[:70]), message("assistant", whole)]), ("b", [message("user", whole[:70]), message("assistant", whole[:70] + " as it is.\n\nThe first thing to look at is the table of the other shard.")])])
     assert rows(P.broken_pairs(df), "id", "defect") == [("a", "copy")]
+
+
+def test_redelivery_is_no_evidence_for_a_word(conversations):
+    data = [("a#1", [message("user", "why does the router drop the profi"), message("assistant", "The queue is fine.")]), ("a#2", [message("user", "why does the router drop the queue"), message("assistant", "The queue is fine.")])]
+    for df in (conversations(data), conversations(data + data[:1]), conversations(data + data + data)):
+        assert rows(T.truncated_values(df), "id", "msg_pos") == [("a#1", 0)]
+        counts = T.value_ends(df).where("kind = 'w'").select("id", "word", "total").distinct()
+        assert counts.where("word = 'profi'").count() == 1
