@@ -1,16 +1,14 @@
 """Evaluation passages inside training documents.
 
-Method: pigeonhole edit matching. The words of a test item are split into pieces of ``p`` words, one more than the
-errors the passage may have; a document that holds enough of the item must then hold a piece without error. Exact
-piece hits come from one Aho-Corasick pass over the document's words, each cluster of hits is aligned to the item
-with Myers' bit-parallel distance (on words, with integers of any width), and an exact count of the item's distinct
-runs of five words decides.
-
-Why no leak is lost: if every piece held an error, the clean stretch between two errors in neighbouring pieces would
-have at most 2p-2 words, that is 2p-1-w runs of w words among 2p positions, a share below the threshold for the p
-chosen here (for w=5 and 0.4: p=4, at most 0.25). Items of few pieces use all their runs as pieces. The same count
-bounds how much of an item a document can hold given its hit pieces, and candidates whose bound is below the
-threshold are dropped unseen: stock phrases shared by many items cost no alignment.
+Method: pigeonhole edit matching. The words of a test item are split into pieces so short that each of its runs of
+five words holds a whole one; a document that has a run must then hit its piece. Exact piece hits come from one
+Aho-Corasick pass over the document's words, each cluster of hits is aligned to the item with Myers' bit-parallel
+distance (on words, with integers of any width), and an exact count of the item's distinct runs of five words decides.
+
+Why no leak is lost: a document has a run only if it has every piece inside it, whatever was changed, inserted, left
+out, repeated or moved around it. The share of the item's distinct runs whose pieces are all hit is therefore never
+below the share that the document has, and candidates with less than the threshold are dropped unseen: stock phrases
+shared by many items cost no alignment. Items of few pieces use all their runs as pieces.
 
 Edge cases: null and blank texts have no hits; items with fewer words than a run never match; null ids stay null;
 items listed twice count once by id; texts of any length are matched whole; extra columns are ignored; empty tables
@@ -34,12 +32,9 @@ RUN, THRESHOLD = 5, 0.4
 ITEM_BYTES = 32 << 20  # text of items that is sent to the tasks at once; more items are matched in several blocks
 
 
-def piece_length(run: int = RUN, threshold: float = THRESHOLD) -> int:
-    """The longest p for which a text with an error in every piece has less than ``threshold`` of the runs."""
-    p = run
-    while p > 1 and (2 * p - 1 - run) >= threshold * 2 * p:
-        p -= 1
-    return p
+def piece_length(run: int = RUN) -> int:
+    """The longest p for which any ``run`` words hold a whole one of the pieces of p words laid end to end."""
+    return max(1, (run + 1) // 2)
 
 
 def myers_distance(pattern: list[str], text: list[str]) -> int:
@@ -85,6 +80,13 @@ class Item:
             self.starts, self.size = list(range(n - run + 1)), run
         else:
             self.starts, self.size = list(range(0, n - p + 1, p)), p
+        # for each distinct run the pieces it holds whole, as bits
+        needs: dict[tuple[str, ...], int] = dict.fromkeys(self.runs, 0)
+        if self.size < run:
+            for j, s in enumerate(self.starts):
+                for i in range(max(0, s + p - run), min(s, n - run) + 1):
+                    needs[tuple(self.words[i : i + run])] |= 1 << j
+        self.needs = list(needs.values())
 
     def most(self, hit: set[int]) -> float:
         """As ``bound``; sets of hits that occurred before (stock phrases) are looked up."""
@@ -99,27 +101,21 @@ class Item:
         return value
 
     def bound(self, hit: set[int]) -> float:
-        """The largest share of distinct runs that a document can hold if only the pieces in ``hit`` are clean."""
+        """The largest share of distinct runs that a document can hold if only the pieces in ``hit`` are in it."""
         if self.size == self.run:
             return 1.0 if hit else 0.0
-        # least number of runs that one error in every other piece destroys: by the place of the last error
-        last_run = len(self.words) - self.run
-        costs = {-1: 0}
-        for j, s in enumerate(self.starts):
-            if j in hit:
-                continue
-            costs = {
-                q: min(c + max(0, min(q, last_run) - max(q - self.run, before, -1)) for before, c in costs.items())
-                for q in range(s, s + self.size)
-            }
-        return (last_run + 1 - min(costs.values())) / len(self.runs)
+        missed = 0
+        for j in range(len(self.starts)):
+            if j not in hit:
+                missed |= 1 << j
+        return sum(not need & missed for need in self.needs) / len(self.runs)
 
 
 class Matcher:
     """The automaton over all pieces of a block of items."""
 
     def __init__(self, items: list[tuple], run: int, threshold: float) -> None:
-        p = piece_length(run, threshold)
+        p = piece_length(run)
         self.run, self.threshold = run, threshold
         self.items = [Item(i, t, run, p) for i, t in items]
         owners: dict[tuple[str, ...], list[tuple[int, int]]] = defaultdict(list)

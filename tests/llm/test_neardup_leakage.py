@@ -117,6 +117,29 @@ def test_bound_never_loses(spark):
             assert item.most(hit) >= share - 1e-9 and (share < 0.4 or hit)
 
 
+def test_inserted_and_repeated_words_lose_no_leak():
+    """Pieces of any length up to a run: the word goes in, or words are said again, inside or behind every k-th piece."""
+    w = [f"u{i}" for i in range(100)]
+    matcher = L.Matcher([(1, " ".join(w))], L.RUN, L.THRESHOLD)
+    lost, kept = [], 0
+    for every in range(3, 17):
+        for at in range(every):
+            for back in (0, 1, 2, 3):
+                doc = []
+                for i, x in enumerate(w):
+                    if i % every == at and i:
+                        doc += w[max(0, i - back) : i] if back else ["zz"]
+                    doc.append(x)
+                share = len(runs(w, 5) & runs(doc, 5)) / 96
+                found = [x[0] for x in matcher.leaks(" ".join(doc))]
+                kept += bool(found)
+                if found != ([1] if share >= 0.4 else []):
+                    lost.append((every, at, back, share))
+    assert not lost and kept > 50
+    by_hand = " ".join(x if i % 8 != 2 else x + " zz" for i, x in enumerate(w))
+    assert [x[4] for x in matcher.leaks(by_hand)] == [round(len(runs(w, 5) & runs(by_hand.split(), 5)) / 96, 6)]
+
+
 def test_leaks_match_brute_force(spark):
     rng = random.Random(5)
     stock = text(rng, 12)
