@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarrymill.functions import answers as A
+from quarrymill.plans import answer_queries
 
 
 def one(spark, f, *values):
@@ -50,3 +51,17 @@ def test_registry(spark):
 def test_options(spark):
     assert one(spark, A.options_of, "Q?\nA. one\nB. two") == ["one", "two"] and one(spark, A.options_of, "Q?\nB. two\nA. one") is None
     assert spark.range(1).select(A.strip_wrapper(F.lit("<q>x</q>"), ["<q>"], ["</q>"])).first()[0] == "x"
+
+
+def test_every_item_is_answered_and_scored(spark, tmp_path):
+    """Against the made forms, one by one: all state the label but for 'no idea'. No item may be left out."""
+    labels = ["A", "B", "17", None, "C", "204", "D", "B", "A", "5"] * 7
+    items = [(i, f"bench{i % 3}", None, "Q", x) for i, x in enumerate(labels)]
+    spark.createDataFrame(items, "item_id BIGINT, benchmark STRING, category STRING, text STRING, label STRING").write.parquet(f"{tmp_path}/eval_items.parquet")
+    want = {i: None if i % 7 == 6 else x for i, _, _, _, x in items if x in ("A", "B", "C", "D")}
+    assert {r.item_id: r.prediction for r in answer_queries.answer_choices(spark, str(tmp_path)).collect()} == want
+    got = {r.benchmark: (r.n, r.hits) for r in answer_queries.accuracy_by_benchmark(spark, str(tmp_path)).collect()}
+    for k in range(3):
+        mine = [i for i, b, _, _, x in items if b == f"bench{k}" and x is not None]
+        assert got[f"bench{k}"] == (len(mine), sum(i % 7 != 6 for i in mine))
+    assert got["*micro*"] == (63, sum(i % 7 != 6 for i, _, _, _, x in items if x is not None))
