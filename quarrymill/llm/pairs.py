@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -145,18 +145,59 @@ def extends(question: str, answer: str, raw: str, at_least: int = 12) -> bool:
     it may be that question as it stood before the cut. ``question`` and ``answer``: the words, joined."""
     if len(question) < at_least or len(answer) <= len(question) or not answer.startswith(question[: max(at_least, len(question) - 14)]):
         return False
+    return _ends_there(raw, question.count(" ") + 1)
+
+
+def _ends_there(raw: str, n: int, units: Callable[[str], list[str]] = words) -> bool:
+    """Whether an answer that gives back a cut question in its first ``n`` words ends where that question may have."""
     rest = CODE.sub("", raw).strip()
     end = max(rest.rfind("?"), rest.rfind("？"))
     if end >= 0:
         return len(words(rest[end + 1 :])) <= 3
-    passed, n = 0, question.count(" ") + 1
+    passed = 0
     for k, paragraph in enumerate(parts := rest.split("\n\n")):  # a request without question mark ends its paragraph
-        passed += len(words(paragraph))
+        passed += len(units(paragraph))
         if passed >= n:
             return k == len(parts) - 1
     return True
 
 
+def characters(text: str) -> list[str]:
+    """The letters and digits of a text in a script without blanks."""
+    return list("".join(words(text)))
+
+
+def stretch_end(question: list[str], answer: list[str], tail: int = 6) -> int | None:
+    """Where in the answer the question, aligned near the answer's beginning, ends; None if its end isn't there.
+
+    The last shared pair among the question's ``tail`` last words counts, near the place it has in the question; the
+    words behind it (a fragment, a changed word) are passed over."""
+    where: dict[tuple[str, str], list[int]] = {}
+    slack = 8 + len(question) // 10
+    for i, two in enumerate(zip(answer[: len(question) + slack], answer[1:])):
+        where.setdefault(two, []).append(i)
+    for j in range(len(question) - 2, max(-1, len(question) - 2 - tail), -1):
+        near = [i for i in where.get((question[j], question[j + 1]), ()) if abs(i - j) <= slack]
+        if near:
+            return min(len(answer), min(near, key=lambda i: abs(i - j)) + len(question) - j)
+    return None
+
+
+def restores(question: str, answer: str, asked: list[str], said: list[str], at_least: int = 6) -> bool:
+    """Whether the answer, perhaps behind a wrapper and slightly changed, gives back a (cut) question and then only
+    goes on to that question's end: as ``extends``, but aligned by ``copies`` instead of letter for letter."""
+    units = words
+    if len(asked) < at_least and ASIAN.search(question):
+        units, asked, said = characters, characters(question), characters(answer)
+    if len(asked) < at_least or len(said) <= len(asked):
+        return False
+    have = set(said)
+    if sum(w in have for w in asked) < 0.6 * len(asked):
+        return False
+    end = stretch_end(asked, said)
+    return end is not None and copies(asked, said[:end]) and _ends_there(answer, end, units)
+
+
 def language(text: str | None, found: list[str] | None = None, least: int = 2) -> str | None:
     """The language that most of the prose of ``text`` is in; None for code, values and texts too short to tell.
 
@@ -198,7 +239,7 @@ def pair_defect(question: str | None, answer: str | None) -> str | None:
     of_answer = language(answer, said) if of_question else None
     if of_answer and of_question != of_answer and of_answer not in {NAMED[w] for w in asked if w in NAMED}:
         return "other_language"
-    if asked[:2] == said[:2] and extends(" ".join(asked), " ".join(said), answer):
+    if asked[:2] == said[:2] and extends(" ".join(asked), " ".join(said), answer) or restores(question, answer, asked, said):
         return "extension"
     return None
 

@@ -101,3 +101,14 @@ def test_redelivery_is_no_evidence_for_a_word(conversations):
         assert rows(T.truncated_values(df), "id", "msg_pos") == [("a#1", 0)]
         counts = T.value_ends(df).where("kind = 'w'").select("id", "word", "total").distinct()
         assert counts.where("word = 'profi'").count() == 1
+
+
+def test_changed_or_wrapped_copy_of_a_question_that_was_cut_later(conversations):
+    whole = "Some background first. The ledger drains the anchor near the window of the other shard each night. " + Q
+    cut = whole[:82]
+    given = {
+        "wrapped": "You asked: " + whole, "changed": whole.replace("drains the anchor", "drains that anchor").replace("Some background", "Background some"), "both": 'Your question was: "' + whole.replace("near the", "near a") + '"',
+        "answered": "You asked: " + cut + " each night.\n\nThe first thing to look at is the table of the other shard.", "other": "The ledger is drained at night because the other shard holds its window.", "asks back": "You asked about the ledger. It drains the anchor when the window is full. Does this help?",
+    }
+    df = conversations([(k, [message("user", cut), message("assistant", v)]) for k, v in given.items()] + [("whole", [message("user", Q), message("assistant", "You asked: " + Q + " It does, and the first thing to look at is the other shard. Is that all?")])])
+    assert rows(P.broken_pairs(df), "id", "defect") == [("both", "copy"), ("changed", "copy"), ("wrapped", "copy")]
