@@ -266,8 +266,8 @@ def _pair_rows(record: str, roles: list, contents: list) -> Iterator[tuple]:
 
 def broken_pairs(conversations: DataFrame) -> DataFrame:
     """(id, user_pos, defect) of every pair with a useless answer."""
-    scanned = cut_lineage(scan_texts(conversations, _pair_rows, fields=("content",)))
-    cut = judge(scanned.where("kind = 'v'"), scanned.where("kind = 'w'")).where("cut").select("id", F.col("msg_pos").alias("pos"), "role")
+    scanned = cut_lineage(scan_texts(conversations, _pair_rows))
+    cut = judge(scanned.where("kind = 'v'"), scanned.where("kind = 'w'")).where("cut AND field = 'content'").select("id", F.col("msg_pos").alias("pos"), "role")
     pairs = scanned.where("kind = 'p'").select("id", F.col("msg_pos").alias("user_pos"), F.col("n_chars").alias("answer_pos"), F.col("state").alias("found")).dropDuplicates(["id", "user_pos"])
     answers = cut.where("role = 'assistant'").select("id", F.col("pos").alias("answer_pos"), F.lit(True).alias("answer_cut"))
     questions = cut.where("role = 'user'").select("id", F.col("pos").alias("user_pos"), F.lit(True).alias("question_cut"))

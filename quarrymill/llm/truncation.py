@@ -258,9 +258,10 @@ def repeated_slots(records: DataFrame) -> bytes:
     return bytes(out)
 
 
-def scan_texts(conversations: DataFrame, extra: Callable[..., Iterator[tuple]] | None = None, fields: tuple[str, ...] = ("content", "reasoning_content")) -> DataFrame:
+def scan_texts(conversations: DataFrame, extra: Callable[..., Iterator[tuple]] | None = None) -> DataFrame:
     """One pass over the texts: a small row for each value, partial word counts, and the rows that ``extra`` makes of
     (id, roles, contents). Ids that may be redelivered get counts of their own, which ``judge`` takes once."""
+    fields = ("content", "reasoning_content")
     texts = messages(conversations, fields=("role", *fields)).withColumn("slot", slot())
     sent = conversations.sparkSession.sparkContext.broadcast(repeated_slots(messages(conversations, fields=()).select("id")))
 

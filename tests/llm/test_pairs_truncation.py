@@ -112,3 +112,14 @@ def test_changed_or_wrapped_copy_of_a_question_that_was_cut_later(conversations)
     }
     df = conversations([(k, [message("user", cut), message("assistant", v)]) for k, v in given.items()] + [("whole", [message("user", Q), message("assistant", "You asked: " + Q + " It does, and the first thing to look at is the other shard. Is that all?")])])
     assert rows(P.broken_pairs(df), "id", "defect") == [("both", "copy"), ("changed", "copy"), ("wrapped", "copy")]
+
+
+def test_pairs_judge_cuts_by_the_words_of_both_fields(conversations):
+    said = "Items.\n\n- router window\n- shard buff"
+    alone = [("a", [message("user", Q), message("assistant", said)])]
+    known = alone + [("b", [message("user", Q), message("assistant", "The queue is fine.", "A buff is a buff, and the buff holds.")])]
+    cut_thought = [("c", [message("user", Q), message("assistant", "The queue is fine.", "The queue of the router is dra")])]
+    for data, want in ((alone, [("a", "truncated")]), (known, []), (cut_thought, [])):
+        df = conversations(data)
+        assert rows(P.broken_pairs(df), "id", "defect") == want
+        assert rows(T.truncated_values(df).where("field = 'content'"), "id") == [(x[0],) for x in want]
