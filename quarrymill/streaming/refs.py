@@ -7,8 +7,6 @@ acknowledgements are idempotent. State lives in Spark's state store, bounded by
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -18,13 +16,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from quarrymill.session import shared_folder
+
 REF = "sample_id STRING, run_id STRING, strategy STRING, schema_version INT, num_tokens INT, estimated_bytes BIGINT, published_at TIMESTAMP"
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder for a stream's checkpoint and output below the cluster's shared folder (a local one in tests)."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "quarrymill-streams")
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return shared_folder(spark, f"{name}-{uuid.uuid4().hex}")
 
 
 def publish(df: DataFrame, channel: str) -> None:
