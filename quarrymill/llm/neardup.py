@@ -2,12 +2,15 @@
 
 Method: ProbMinHash. Each shingle is a Poisson process whose rate is its weight; its arrivals fall on random
 components of the signature, and a document's processes are run only until no later arrival can still lower a
-component (early termination). Equal components estimate the probability Jaccard index, which for equal weights is
-the Jaccard index of the shingle sets. Signatures are banded; documents that share a band are candidates, and every
-candidate is verified on its whole shingle set.
+component (early termination). Equal components estimate the probability Jaccard index. ``weights`` says what a shingle
+weighs: ``equal`` (1: the index is the Jaccard index of the sets, which the pairs of p4_found are defined by) or
+``counts`` (how often it occurs, for similarity of multisets). Signatures are banded; documents that share a band are
+candidates, and every candidate is verified on its whole (multi)set of shingles.
 
 Exact copies form a class first: one representative is banded and verified, and the class' members join the result
 at its end. Buckets are joined in blocks, so that a bucket that holds a third of all rows is spread over many tasks.
+Texts are read twice and never shuffled: a bitmap of fixed size over hashed ids tells the second reading which rows may
+be candidates, at any size of the table by the same plan; only candidates' sets are shuffled.
 
 Edge cases: null or empty messages, null contents and null ids are passed over; a document with fewer words than a
 shingle has no shingle and no partner; redelivered rows count once by id; texts of any length are used whole; extra
@@ -25,11 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrymill.llm.words import WORD, messages
-from quarrymill.session import cut_lineage
+from quarrymill.session import cut_lineage, release
 
 ROWS, BANDS, SHINGLE, THRESHOLD, SEED = 4, 36, 3, 0.6, 20_240_607
 BLOCK = 256  # members of a bucket that meet in one join key
-BROADCAST_IDS = 200_000  # ids of candidates below which they are broadcast to the second reading
+SLOTS = 1 << 26  # bits of the bitmap of candidates (a broadcast of at most 2^20 rows of two numbers)
 
 _U = np.uint64
 
@@ -59,6 +62,12 @@ class Hasher:
             out.append(h)
         return np.array(out, dtype=np.uint64)
 
+    def weighted(self, text: str, counted: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+        """(words, distinct shingles, how often each occurs) of a text; the last is None unless ``counted``."""
+        w = self.words(text)
+        found = self.shingles(w)
+        return (w, *np.unique(found, return_counts=True)) if counted else (w, np.unique(found), None)
+
     def shingles(self, words: np.ndarray) -> np.ndarray:
         n = len(words) - self.shingle + 1
         if n <= 0:
@@ -108,24 +117,25 @@ def spoken(roles: list | None, contents: list | None) -> str:
 _SIGNED = pa.schema([("id", pa.string()), ("class", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
 
-def _sign(shingle: int, rows: int, bands: int):
+def _sign(shingle: int, rows: int, bands: int, counted: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(shingle)
         for big in batches:
             for start in range(0, big.num_rows, 512):
                 batch = big.slice(start, 512)
-                ids, classes, sets = [], [], []
+                ids, classes, sets, weights = [], [], [], []
                 for record, roles, contents in zip(*(batch.column(c).to_pylist() for c in ("id", "role", "content"))):
-                    w = hasher.words(spoken(roles, contents))
-                    s = np.unique(hasher.shingles(w))
+                    w, s, n = hasher.weighted(spoken(roles, contents), counted)
                     if len(s):
                         ids.append(record)
                         classes.append(xxhash.xxh128_digest(w.tobytes()))
                         sets.append(s)
+                        weights.append(n)
                 if not ids:
                     continue
                 doc = np.repeat(np.arange(len(ids)), [len(s) for s in sets])
-                sig = probminhash(doc, np.concatenate(sets), None, len(ids), rows * bands)
+                weight = np.concatenate(weights).astype(np.float64) if counted else None
+                sig = probminhash(doc, np.concatenate(sets), weight, len(ids), rows * bands)
                 h = np.zeros((len(ids), bands), np.uint64)
                 for i in range(rows):
                     h = mix(h * _U(0x9E3779B97F4A7C15) + sig[:, i * bands : (i + 1) * bands])
@@ -140,22 +150,41 @@ def _sign(shingle: int, rows: int, bands: int):
 _SETS = pa.schema([("id", pa.string()), ("set", pa.list_(pa.int64()))])
 
 
-def _shingle_sets(shingle: int):
+def occurrences(element: np.ndarray, count: np.ndarray | None) -> np.ndarray:
+    """A multiset as a set: the k-th occurrence of an element is an element of its own."""
+    if count is None:
+        return element
+    before = np.repeat(np.cumsum(count) - count, count)
+    return np.unique(mix(np.repeat(element, count) + (np.arange(len(before)) - before).astype(np.uint64) * _U(0xD6E8FEB86659FD93)))
+
+
+def _shingle_sets(shingle: int, counted: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(shingle)
         for big in batches:
             for start in range(0, big.num_rows, 512):
                 batch = big.slice(start, 512)
-                rows = [(i, np.unique(hasher.shingles(hasher.words(spoken(r, c)))).astype(np.int64)) for i, r, c in zip(*(batch.column(c).to_pylist() for c in ("id", "role", "content")))]
+                rows = [(i, occurrences(*hasher.weighted(spoken(r, c), counted)[1:]).astype(np.int64)) for i, r, c in zip(*(batch.column(c).to_pylist() for c in ("id", "role", "content")))]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([s for _, s in rows], pa.list_(pa.int64()))], schema=_SETS)
 
     return run
 
 
-def signatures(conversations: DataFrame, *, shingle: int = SHINGLE, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
+def signatures(conversations: DataFrame, *, shingle: int = SHINGLE, rows: int = ROWS, bands: int = BANDS, weights: str = "equal") -> DataFrame:
     """(id, class, bands) of every conversation with at least one shingle; class is equal for equal word sequences."""
-    return messages(conversations, fields=("role", "content")).mapInArrow(_sign(shingle, rows, bands), "id string, class binary, bands array<bigint>")
+    return messages(conversations, fields=("role", "content")).mapInArrow(_sign(shingle, rows, bands, weights == "counts"), "id string, class binary, bands array<bigint>")
+
+
+def maybe_among(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose id may be one of ``ids`` (and some others): a test of one bit in a bitmap over hashed ids.
+
+    The bitmap has ``SLOTS`` bits at any number of ids and is broadcast as words of 64 bits; more ids only let more
+    other rows pass, which a later join drops."""
+    slot = F.pmod(F.xxhash64("id"), F.lit(SLOTS))
+    bits = ids.select(slot.alias("_s")).groupBy(F.shiftright("_s", 6).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_s % 64 as int))")).alias("_bits"))
+    held = rows.withColumn("_s", slot).withColumn("_word", F.shiftright("_s", 6)).join(F.broadcast(bits), "_word")
+    return held.where("getbit(_bits, cast(_s % 64 as int)) = 1").select(*rows.columns)
 
 
 def candidate_pairs(members: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -179,21 +208,19 @@ def candidate_pairs(members: DataFrame, block: int = BLOCK) -> DataFrame:
     return pairs.select("id_a", "id_b").distinct()
 
 
-def linked_classes(conversations: DataFrame, *, threshold: float = THRESHOLD, shingle: int = SHINGLE, rows: int = ROWS, bands: int = BANDS) -> tuple[DataFrame, DataFrame]:
+def linked_classes(conversations: DataFrame, *, threshold: float = THRESHOLD, shingle: int = SHINGLE, rows: int = ROWS, bands: int = BANDS, weights: str = "equal") -> tuple[DataFrame, DataFrame]:
     """(members, links): ``members(id, rep)`` for every conversation with a shingle, where rep is the least id of its
     class; ``links(id_a, id_b, similarity)`` between representatives that are alike."""
-    signed = cut_lineage(signatures(conversations, shingle=shingle, rows=rows, bands=bands))
+    signed = cut_lineage(signatures(conversations, shingle=shingle, rows=rows, bands=bands, weights=weights))
     distinct = signed.groupBy("id").agg(F.first("class").alias("class"))  # redelivered rows have the same words
     classes = distinct.groupBy("class").agg(F.min("id").alias("rep"))
     members = distinct.join(classes, "class").select("id", "rep")
     reps = signed.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
     buckets = reps.select("id", F.explode("bands").alias("bucket"))
     pairs = cut_lineage(candidate_pairs(buckets))
-    wanted = pairs.select(F.col("id_a").alias("id")).union(pairs.select(F.col("id_b").alias("id"))).distinct()
-    texts = messages(conversations, fields=("role", "content"))
-    few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    chosen = texts.join(F.broadcast(wanted) if few else wanted, "id", "left_semi")
-    sets = chosen.mapInArrow(_shingle_sets(shingle), "id string, set array<bigint>").groupBy("id").agg(F.first("set").alias("set"))
+    wanted = pairs.select(F.col("id_a").alias("id")).union(pairs.select(F.col("id_b").alias("id")))
+    chosen = maybe_among(messages(conversations, fields=("role", "content")), wanted)
+    sets = chosen.mapInArrow(_shingle_sets(shingle, weights == "counts"), "id string, set array<bigint>").groupBy("id").agg(F.first("set").alias("set"))
     a = sets.select(F.col("id").alias("id_a"), F.col("set").alias("set_a"))
     b = sets.select(F.col("id").alias("id_b"), F.col("set").alias("set_b"))
     both = F.size(F.array_intersect("set_a", "set_b"))
@@ -217,11 +244,13 @@ def alike_pairs(conversations: DataFrame, **options) -> DataFrame:
     return within.unionByName(across)
 
 
-def components(links: DataFrame, rounds: int = 40) -> DataFrame:
-    """(id, group_id) of connected components; group_id is the least id. Alternates large-star and small-star; each
-    round is written to the checkpoint folder, and only a change count reaches the driver."""
+def components(links: DataFrame) -> DataFrame:
+    """(id, group_id) of connected components; group_id is the least id. Large-star and small-star alternate until a
+    round changes nothing, however many rounds that takes; each round is written to the checkpoint folder, the one
+    before it is deleted, and only a count reaches the driver."""
     edges = cut_lineage(links.select(F.col("id_a").alias("u"), F.col("id_b").alias("v")).where("u <> v").distinct())
-    for _ in range(rounds):
+    n_edges = -1
+    while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -230,9 +259,11 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
         joined = down.join(low2, "u")
         small = joined.select("u", F.col("m").alias("v")).union(joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
         new = cut_lineage(small)
-        changed = new.exceptAll(edges).limit(1).count() + edges.exceptAll(new).limit(1).count()
-        edges = new
-        if not changed:
+        n_new = new.count()
+        done = n_new == n_edges and new.join(edges, ["u", "v"], "left_anti").isEmpty()
+        release(edges)
+        edges, n_edges = new, n_new
+        if done:
             break
     return edges.groupBy("u").agg(F.min("v").alias("group_id")).select(F.col("u").alias("id"), "group_id").union(edges.select(F.col("v").alias("id"), F.col("v").alias("group_id"))).groupBy("id").agg(F.min("group_id").alias("group_id"))
 

@@ -160,3 +160,37 @@ def test_leaks_match_brute_force(spark):
     assert got.where("doc_id IS NULL AND item_id = 3").count() == 1
     assert sorted((r.doc_id, r.item_id) for r in L.leaked_items(df, it, item_bytes=600).where("doc_id IS NOT NULL").collect()) == want
     assert L.leaked_items(df, it.limit(0)).count() == 0 and L.leaked_items(df.limit(0), it).count() == 0
+
+
+def test_components_of_a_long_path_are_whole(spark):
+    n = 301
+    order = list(range(n))
+    random.Random(9).shuffle(order)
+    links = spark.createDataFrame([(f"n{order[i]:04}", f"n{order[i + 1]:04}") for i in range(n - 1)] + [("z1", "z2"), ("z2", "z1"), ("z3", "z3")], "id_a STRING, id_b STRING")
+    got = dict(rows(N.components(links), "id", "group_id"))
+    assert len(got) == n + 2 and {v for k, v in got.items() if k[0] == "n"} == {"n0000"} and got["z2"] == "z1"
+    assert N.components(links.limit(0)).count() == 0
+
+
+def test_weighted_pairs_match_brute_force(spark, conversations):
+    """Multisets: runs that occur more often weigh more, so that repeated passages can make or break a pair."""
+    from collections import Counter
+
+    rng = random.Random(11)
+    docs = {}
+    for g in range(12):
+        a, b = text(rng, 40), text(rng, 40)
+        docs |= {f"g{g:02}#0": f"{a} {b}", f"g{g:02}#1": f"{a} {b} {b} {b}", f"g{g:02}#2": f"{edited(rng, a, 2)} {b} {b} {b}", f"g{g:02}#3": f"{a} {a} {b}"}
+    count = {k: Counter(zip(*(words(t)[i:] for i in range(3)))) for k, t in docs.items()}
+    ids = sorted(docs)
+    want = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if sum((count[a] & count[b]).values()) >= 0.6 * sum((count[a] | count[b]).values())]
+    df = conversations([(k, [message("user", t)]) for k, t in docs.items()])
+    assert want and rows(N.alike_pairs(df, weights="counts"), "id_a", "id_b") == want and want != rows(N.alike_pairs(df), "id_a", "id_b")
+
+
+def test_bitmap_keeps_all_candidates(spark):
+    df = spark.range(20_000).select(F.col("id").cast("string").alias("id"), F.lit(1).alias("x"))
+    wanted = df.where("id % 7 = 0").select("id")
+    kept = N.maybe_among(df, wanted)
+    assert kept.columns == ["id", "x"] and kept.join(wanted, "id", "left_semi").count() == wanted.count() and kept.count() < 1.05 * wanted.count()
+    assert N.maybe_among(df, wanted.limit(0)).count() == 0
