@@ -13,7 +13,7 @@ the targeted sources that have tokens. Shares are rescaled over these; a source
 Edge cases: null, blank and unknown sources have no target and aren't used; sources are compared by their folded
 handle; rows with null or blank texts have no tokens and aren't used; null or non-positive shares and max_repeats
 count as no target; of targets listed twice the larger share counts; repeated rows are rows of their own; extra
-columns are ignored; empty tables give empty results.
+columns are ignored; empty tables give empty results. The same rows give the same mix however they are partitioned.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrymill.session import cut_lineage
@@ -114,16 +114,16 @@ def landing(p: np.ndarray, size: np.ndarray) -> np.ndarray:
     return p
 
 
-_GROUP = "row bigint, source string, n_tokens bigint, p double, block bigint"
+_GROUP = "row string, source string, n_tokens bigint, p double, block bigint, last boolean"
 
 
-def _fly(level: int, seed: int, last: bool):
+def _fly(level: int, seed: int):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["n_tokens", "row"], ascending=[False, True], kind="stable")  # the last ones left are small.reset_index(drop=True)
-        digest = int(pd.util.hash_array(np.array([f"{key[0]}|{key[1]}|{level}|{seed}"], dtype=object))[0])
-        rng = np.random.default_rng(digest)
+        source, block, last = key
+        rows = rows.sort_values(["n_tokens", "row"], ascending=[False, True], kind="stable").reset_index(drop=True)  # the last ones left are small
+        digest = int(pd.util.hash_array(np.array([f"{source}|{block}|{level}|{seed}"], dtype=object))[0])
         size = rows["n_tokens"].to_numpy()
-        p = flight(rows["p"].to_numpy(), size, rng, LANDING if last else 2)
+        p = flight(rows["p"].to_numpy(), size, np.random.default_rng(digest), LANDING if last else 2)
         rows["p"] = landing(p, size) if last else p
         return rows
 
@@ -133,25 +133,23 @@ def _fly(level: int, seed: int, last: bool):
 def balanced_rows(rows: DataFrame, *, block: int = BLOCK, seed: int = SEED) -> DataFrame:
     """(row, source, n_tokens, p in {0, 1}) from (row, source, n_tokens, p in (0, 1)), balanced in each source.
 
-    ``row`` identifies a row. A level's blocks hold about ``block`` rows, however many a source has; levels go on
-    until every source's fractional rows fit one block. The driver only sees one number a level.
+    ``row`` identifies a row. A level's blocks hold about ``block`` rows, however many a source has; a source lands at
+    the first level at which its fractional rows fit one block. The driver only sees one number a level.
     """
-    rest, done, level = rows.select("row", "source", "n_tokens", "p"), [], 0
+    rest, done, level = rows.select(F.col("row").cast("string").alias("row"), "source", "n_tokens", "p"), [], 0
     while True:
         counts = rest.groupBy("source").agg(F.count("*").alias("n"))
-        most = counts.agg(F.max("n")).first()[0] or 0
-        last = most <= block
         placed = (
             rest.join(counts, "source")
+            .withColumn("last", F.col("n") <= block)
             .withColumn("block", F.pmod(F.xxhash64("row", F.lit(level)), F.ceil(F.col("n") / F.lit(float(block)))))
-            .select("row", "source", "n_tokens", "p", F.col("block").cast("long").alias("block"))
+            .select("row", "source", "n_tokens", "p", F.col("block").cast("long").alias("block"), "last")
         )
-        flown = cut_lineage(placed.groupBy("source", "block").applyInPandas(_fly(level, seed, last), _GROUP))
-        if last:
-            done.append(flown)
-            break
+        flown = cut_lineage(placed.groupBy("source", "block", "last").applyInPandas(_fly(level, seed), _GROUP))
         done.append(flown.where("p = 0 OR p = 1"))
-        rest = flown.where("p > 0 AND p < 1").drop("block")
+        rest = flown.where("p > 0 AND p < 1").drop("block", "last")
+        if rest.isEmpty():
+            break
         level += 1
     out = done[0]
     for d in done[1:]:
@@ -178,12 +176,20 @@ def plan(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     return joined.crossJoin(F.broadcast(total)).withColumn("copies", F.when(usable, F.least(F.col("scale") * F.col("target_share") / F.col("n_tokens"), F.col("max_repeats").cast("double"))).otherwise(F.lit(0.0))).select("source", "target_share", "max_repeats", "n_docs", "n_tokens", "reach", "copies")
 
 
+def named_rows(sized: DataFrame) -> DataFrame:
+    """Adds ``row``, a name that depends on the row alone: its id, its text's digest and its number among rows that
+    share both. However the table is partitioned, the same rows get the same names, and hence the same draw."""
+    same = Window.partitionBy("doc_id", "digest").orderBy("n_tokens", "source")
+    name = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.hex("digest"), F.row_number().over(same))
+    return sized.withColumn("row", name).drop("digest")
+
+
 def mixed_rows(documents: DataFrame, targets: DataFrame, *, vocabulary: str = VOCABULARY, seed: int = SEED) -> DataFrame:
     """(doc_id, source, n_tokens, n_copies, target_share, max_repeats, ...) of every usable row of a targeted source."""
-    texts = documents.where(F.col("text").isNotNull() & (F.trim(F.col("text")) != "")).select(F.col("doc_id").cast("long").alias("doc_id"), fold("source").alias("source"), "text")
+    texts = documents.where(F.col("text").isNotNull() & (F.trim(F.col("text")) != "")).select(F.col("doc_id").cast("long").alias("doc_id"), fold("source").alias("source"), F.xxhash64("text").alias("digest"), "text")
     wanted = clean_targets(targets).select("source")
-    sized = count_tokens(texts.join(wanted, "source", "left_semi"), "text", ["doc_id", "source"], vocabulary).where("n_tokens > 0")
-    sized = cut_lineage(sized.withColumn("row", F.monotonically_increasing_id()))
+    sized = count_tokens(texts.join(wanted, "source", "left_semi"), "text", ["doc_id", "source", "digest"], vocabulary).where("n_tokens > 0")
+    sized = cut_lineage(named_rows(sized))
     shares = cut_lineage(plan(sized, targets))
     rows = sized.join(shares.select("source", "copies"), "source").withColumn("whole", F.floor(F.col("copies") + 1e-9)).withColumn("p", F.greatest(F.col("copies") - F.col("whole"), F.lit(0.0)))
     split = rows.where("p > 1e-9").select("row", "source", "n_tokens", "p")

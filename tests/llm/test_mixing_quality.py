@@ -101,3 +101,11 @@ def test_measures_are_whole_and_defined(spark):
 def test_layout_measures():
     assert Q.autocorrelation([5, 9, 5, 9, 5, 9, 5, 9])[1] == 2 and Q.autocorrelation([4, 4, 4, 4]) == (1.0, 1) and Q.autocorrelation([1]) == (0.0, 0)
     assert Q.aligned_columns(["a   b   c", "d   e   f", "g   h   i"]) == 2 and Q.indent_period(["a", "  b", "a", "  b"]) > 0.6
+
+
+def test_mix_is_the_same_however_rows_are_partitioned(spark):
+    targets = spark.createDataFrame([("bigsource", 0.5, 1), ("smallsource", 0.2, 3), ("mid", 0.2, 2)], TARGETS)
+    twice = docs(spark).unionByName(docs(spark).where("doc_id < 40"))
+    mix = lambda df: rows(M.mixed_with_shares(df, targets), "doc_id", "n_copies")
+    first = mix(twice.repartition(3))
+    assert first and first == mix(twice.repartition(7, "text")) == mix(twice.coalesce(1).orderBy(F.desc("doc_id")))
