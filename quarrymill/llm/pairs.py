@@ -1,7 +1,8 @@
 """Question-answer pairs whose answer is useless, with the kind of defect.
 
-Method: prompt and answer are aligned by shingle containment and by the longest common subsequence to find copies;
-sentences of the answer are aligned with refusal templates; truncation is decided as in ``truncation``; language by
+Method: prompt and answer are aligned by shingle containment and by the longest common subsequence to find copies
+(characters instead of words in scripts without blanks); sentences of the answer are aligned with refusal templates,
+whole phrases and slots with gaps for the topic; truncation is decided as in ``truncation``; language by
 script and by counts of function words.
 
 A pair is a user message with at least one assistant message before the next user message or the end; its answer is
@@ -18,12 +19,13 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrymill.llm.truncation import judge, scan_texts
-from quarrymill.llm.words import lcs_length, runs, words
+from quarrymill.llm.truncation import judge, once_each, scan_texts
+from quarrymill.llm.words import WORD, lcs_length, runs, words
 from quarrymill.session import cut_lineage
 
 #: Answers that say nothing, as words. Fixed values.
@@ -42,9 +44,26 @@ REFUSALS = [
     "je ne peux pas vous aider avec", "je ne peux pas t aider avec", "je préfère ne pas parler de", "je dois refuser cette demande", "il m est impossible de répondre au sujet de", "je ne suis pas en mesure de",
     "dabei kann ich nicht helfen", "damit kann ich nicht helfen", "zu darf ich keine auskunft geben", "ich bin nicht in der lage zu behandeln", "diese bitte über muss ich ablehnen", "ich möchte nicht über sprechen", "dazu kann ich nichts sagen",
     "я не могу помочь с темой", "я не вправе отвечать про", "мне придётся отказаться обсуждать", "мне нельзя говорить о", "я не могу ответить на вопрос о", "я предпочёл бы не обсуждать",
-    "我 无法", "我 不能", "抱歉",
 ]
 
+_DO = {
+    "en": "help|assist|answer|answering|respond|responding|reply|discuss|discussing|provide|providing|comply|fulfill|fulfil|complete|comment|commenting|share|sharing|engage|support|advise|address|accommodate|talk",
+    "de": "helfen|weiterhelfen|beantworten|antworten|sprechen|sagen|behandeln|besprechen|unterstützen|kommentieren|auskunft|erfüllen|nachkommen|eingehen", "es": "ayudar|ayudarte|ayudarle|ayudaros|responder|contestar|tratar|hablar|comentar|discutir|proporcionar|compartir|cumplir|asistir|atender",
+    "fr": "aider|répondre|parler|discuter|fournir|traiter|commenter|partager|satisfaire|accéder|aborder|assister|donner", "ru": "помочь|помогать|ответить|отвечать|обсуждать|обсудить|говорить|комментировать|предоставить|выполнить|рассказать",
+}
+#: Refusals as slots that follow each other within a few words; a slot's alternatives stand between ``|``. Contractions
+#: are written out. Fixed values.
+SLOTS = [
+    f"i|we not|unable {_DO['en']}", "i|we not comfortable", "i must|have|need decline|refuse", "i decline|refuse", f"i rather|prefer not {_DO['en']}|go|take", "not something i can|am|may", "my guidelines|policy|policies|rules|instructions|programming not|keep|prevent|forbid|prohibit", "outside|beyond i allowed|permitted|able",
+    f"ich|mir|wir nicht|keine|nichts {_DO['de']}", "ich|muss ablehnen", f"no puedo|podemos|podré|posible|autorizado|debo {_DO['es']}", f"prefiero no {_DO['es']}", "debo rechazar|declinar", f"ne peux|puis|pouvons|suis|souhaite|vais|saurais pas {_DO['fr']}", f"préfère ne pas {_DO['fr']}", "dois refuser|décliner", f"impossible de {_DO['fr']}",
+    f"я|мы|мне не|нельзя {_DO['ru']}", "придётся|вынужден|вынуждена отказаться|отказать",
+]
+#: Refusals in scripts without blanks. Fixed values.
+ASIAN_REFUSAL = re.compile(r"(?:我|我们)[^。！？\n]{0,6}(?:无法|不能|不可以|不便|没办法|拒绝)[^。！？\n]{0,8}(?:帮|协助|回答|提供|讨论|满足|完成|评论|处理|透露|答复)|(?:お手伝い|お答え|回答|対応|お応え)(?:することは)?(?:は)?できません|(?:도와|답변|도움을)[^.\n]{0,8}수 없")
+#: Words of sentences that go with a refusal: courtesies, rules, other offers. Fixed values.
+COURTESY = frozenset("sorry apologize apologise apologies unfortunately guidelines policy policies rules unable understand appreciate feel please let happy glad else instead qualified expert professional safety harm harmful sensitive appropriate inappropriate request topic leider entschuldigung bitte gern gerne richtlinien regeln verständnis siento disculpa disculpe favor políticas normas otra désolé désolée regrette règles merci autre извините простите пожалуйста правила сожалею другим".split())
+CONTRAST = frozenset("but however aber jedoch pero mais cependant но однако".split())
+
 #: Function words by language. Fixed values.
 FUNCTION_WORDS = {
     "en": "the a an of and in to is that this it for on with as by are was be if when which each every another our one same after before how why what should can you not but there we near without within by until while because so near i me if",
@@ -55,6 +74,11 @@ FUNCTION_WORDS = {
     "it": "il lo gli una e che di con per non si è della nel alcuni molti questi quando perché come dopo prima senza anche sono del dei",
     "pt": "o os as um uma e que de em com para por não se é do da dos das nossos estes muitos alguns quando porque como depois sem também são",
 }
+#: Frequent words of further languages an answer may be in. Fixed values.
+OTHER_WORDS = {
+    "nl": "het een van dat niet zijn op voor met hij maar ook wordt naar bij deze", "pl": "się nie jest na to że jak ale przez oraz który dla są gdy po od", "sv": "och att det som är på inte för med den av till har ett när eller", "no": "og ikke det som er på av til med har jeg når eller den fra ved",
+    "cs": "se že je na není jako ale který pro když jsou nebo podle jeho aby po", "tr": "bir ve bu için ile değil olarak daha gibi kadar sonra çok ama olan her ne", "uk": "і та що не це як але для його від також якщо після або вони про", "fi": "ja on ei että se joka mutta kun myös ovat tai niin kuin jos sen voi",
+}
 KNOWN = {w: tuple(k for k, v in FUNCTION_WORDS.items() if w in v.split()) for v0 in FUNCTION_WORDS.values() for w in v0.split()}
 
 #: Names of languages as questions use them. Fixed values.
@@ -66,6 +90,8 @@ LANGUAGE_NAMES = {
 }
 NAMED = {w: k for k, v in LANGUAGE_NAMES.items() for w in v.split()}
 
+_OTHERS = [frozenset(v.split()) for v in OTHER_WORDS.values()]
+
 CODE = re.compile(r"```.*?(?:```|\Z)|`[^`\n]*`", re.DOTALL)
 ASIAN = re.compile(r"[㐀-鿿぀-ヿ가-힯]")
 HAN, KANA, HANGUL = re.compile(r"[㐀-鿿]"), re.compile(r"[぀-ヿ]"), re.compile(r"[가-힯]")
@@ -76,9 +102,10 @@ SHINGLE = 3
 
 
 def is_empty(answer: str | None) -> bool:
-    if answer is None or len(answer) > 200:
-        return not (answer or "").strip()
-    found = words(INVISIBLE.sub("", answer))
+    """Whether an answer of any length says nothing: blanks, signs alone, or a placeholder."""
+    if not answer:
+        return True
+    found = [m[0].lower() for m in islice(WORD.finditer(INVISIBLE.sub("", answer)), 4)]
     if not found:  # signs alone: a number or a bare operator would have had letters or digits
         return True
     return len(found) <= 3 and " ".join(found) in PLACEHOLDERS
@@ -86,29 +113,52 @@ def is_empty(answer: str | None) -> bool:
 
 _TEMPLATES = [t.split() for t in REFUSALS]
 _ANCHORS = {max((w for w in t if len(w) > 1), key=len) for t in _TEMPLATES}
+_SLOTS = [[frozenset(x.split("|")) for x in t.split()] for t in SLOTS]
+_SLOT_ANCHORS = frozenset().union(*(t[-1] for t in _SLOTS))
+_WRITTEN_OUT = {"m": ["am"], "t": ["not"], "cannot": ["can", "not"], "won": ["will"], "ll": ["will"], "d": ["would"], "ve": ["have"]}
+_ALL_ANCHORS = _ANCHORS | _SLOT_ANCHORS
 
 
 def refuses(sentence: list[str], least: float = 0.99) -> bool:
     """Whether the words of a sentence hold those of a refusal template in order."""
     have = set(sentence)
-    if not have & _ANCHORS:
-        return False
-    for t in _TEMPLATES:
-        if sum(w in have for w in t) >= least * len(t) and lcs_length(t, sentence) >= least * len(t):
-            return True
+    if have & _ANCHORS:
+        for t in _TEMPLATES:
+            if sum(w in have for w in t) >= least * len(t) and lcs_length(t, sentence) >= least * len(t):
+                return True
+    return bool(have & _SLOT_ANCHORS) and slots_align([x for w in sentence for x in _WRITTEN_OUT.get(w, [w])])
+
+
+def slots_align(sentence: list[str], gap: int = 4) -> bool:
+    """Whether a template's slots are met in order, each within ``gap`` words of the one before, and the sentence
+    doesn't go on to say something else behind a ``but``."""
+    for t in _SLOTS:
+        for start in (i for i, w in enumerate(sentence) if w in t[0]):
+            at = start
+            for slot in t[1:]:
+                at = next((j for j in range(at + 1, min(len(sentence), at + 2 + gap)) if sentence[j] in slot), -1)
+                if at < 0:
+                    break
+            if at < 0:
+                continue
+            behind = next((j for j in range(at + 1, len(sentence)) if sentence[j] in CONTRAST), len(sentence))
+            if len(sentence) - behind <= 6 or not COURTESY.isdisjoint(sentence[behind:]):
+                return True
     return False
 
 
-def is_refusal(answer: str, answer_words: list[str] | None = None, most: int = 4) -> bool:
-    """Whether the answer only declines: at most one sentence before the refusal and two courtesies after it."""
-    if len(answer) > 600 or _ANCHORS.isdisjoint(words(answer) if answer_words is None else answer_words):
-        return False
-    sentences = [s for s in SENTENCE.split(answer) if s.strip()]
-    if not sentences or len(sentences) > most:
+def is_refusal(answer: str, answer_words: list[str] | None = None) -> bool:
+    """Whether the answer only declines: at most one sentence before the refusal, and behind it at most two that are
+    neither courtesies nor reasons for declining, however long the answer is."""
+    found = words(answer) if answer_words is None else answer_words
+    asian = not answer.isascii() and ASIAN_REFUSAL.search(answer) is not None
+    if not asian and _ALL_ANCHORS.isdisjoint(found):
         return False
-    for k, s in enumerate(sentences[:2]):
-        if refuses(words(s)):
-            return len(sentences) - k - 1 <= 2
+    sentences = list(islice((s for s in SENTENCE.split(answer) if s and not s.isspace()), 2))
+    for k, s in enumerate(sentences):
+        if (asian and ASIAN_REFUSAL.search(s)) or refuses(words(s)):
+            rest = [s for s in SENTENCE.split(answer) if s and not s.isspace()][k + 1 :]
+            return len(rest) <= 2 or sum(COURTESY.isdisjoint(words(x)) for x in rest) <= 2
     return False
 
 
@@ -198,6 +248,14 @@ def restores(question: str, answer: str, asked: list[str], said: list[str], at_l
     return end is not None and copies(asked, said[:end]) and _ends_there(answer, end, units)
 
 
+def foreign(found: list[str], own: str, least: int = 4) -> bool:
+    """Whether prose that no list of ``FUNCTION_WORDS`` tells is in another language than ``own``: words of a further
+    language are frequent in it, and those of ``own`` are few."""
+    mine = sum(own in KNOWN.get(w, ()) for w in found)
+    other = max(sum(w in have for w in found) for have in _OTHERS)
+    return other >= least and other >= 3 * mine and other >= 0.12 * len(found)
+
+
 def language(text: str | None, found: list[str] | None = None, least: int = 2) -> str | None:
     """The language that most of the prose of ``text`` is in; None for code, values and texts too short to tell.
 
@@ -233,12 +291,14 @@ def pair_defect(question: str | None, answer: str | None) -> str | None:
     if not question or not question.strip():
         return None
     asked = words(question)
-    if copies(asked, said):
+    if copies(asked, said) or ASIAN.search(question) and copies(characters(question), characters(answer)):
         return "copy"
     of_question = language(question, asked)
     of_answer = language(answer, said) if of_question else None
     if of_answer and of_question != of_answer and of_answer not in {NAMED[w] for w in asked if w in NAMED}:
         return "other_language"
+    if of_question and not of_answer and not any(w in NAMED for w in asked) and foreign(words(CODE.sub(" ", answer)) if "`" in answer else said, of_question):
+        return "other_language"
     if asked[:2] == said[:2] and extends(" ".join(asked), " ".join(said), answer) or restores(question, answer, asked, said):
         return "extension"
     return None
@@ -268,7 +328,7 @@ def broken_pairs(conversations: DataFrame) -> DataFrame:
     """(id, user_pos, defect) of every pair with a useless answer."""
     scanned = cut_lineage(scan_texts(conversations, _pair_rows))
     cut = judge(scanned.where("kind = 'v'"), scanned.where("kind = 'w'")).where("cut AND field = 'content'").select("id", F.col("msg_pos").alias("pos"), "role")
-    pairs = scanned.where("kind = 'p'").select("id", F.col("msg_pos").alias("user_pos"), F.col("n_chars").alias("answer_pos"), F.col("state").alias("found")).dropDuplicates(["id", "user_pos"])
+    pairs = once_each(scanned.where("kind = 'p'"), ["id", "msg_pos"]).select("id", F.col("msg_pos").alias("user_pos"), F.col("n_chars").alias("answer_pos"), F.col("state").alias("found"))
     answers = cut.where("role = 'assistant'").select("id", F.col("pos").alias("answer_pos"), F.lit(True).alias("answer_cut"))
     questions = cut.where("role = 'user'").select("id", F.col("pos").alias("user_pos"), F.lit(True).alias("question_cut"))
     defect = (

@@ -27,7 +27,8 @@ CLOSED, OPEN, CASUAL, ITEM, PLAIN = "closed", "open", "casual", "item", "plain"
 
 #: Signs that transfer tools leave at a cut. Fixed values.
 MARKER = re.compile(r"\s*(?:\.\.\.|…|[\[(<{](?:\.\.\.|…|truncated|snip|snipped|cut|cut off|clipped|continued|more|omitted|gekürzt|tronqué|truncado|обрезано)[\])>}])$", re.IGNORECASE)
-BROKEN = re.compile(r"(?:\ufffd|[\ud800-\udfff]|\\u[0-9a-fA-F]{0,3}|\\x[0-9a-fA-F]?|(?<!\\)\\|&#?\w{0,6}|%[0-9A-Fa-f]|<\/?[A-Za-z][^<>\n]{0,80}|<\/?)$")
+BROKEN = re.compile(r"(?:\ufffd|[\ud800-\udfff]|\\u[0-9a-fA-F]{0,3}|\\x[0-9a-fA-F]?|(?<!\\)\\|&#?\w{0,6}|%[0-9A-Fa-f]|</?)$")
+OPEN_TAG = re.compile(r"</?[A-Za-z][\w:.-]*(?:\s[^<>\n]*)?")
 FENCE = re.compile(r"^[ \t]*(```+|~~~+)", re.MULTILINE)
 ENTRY = re.compile(r"\s*(?:[-*+•‣◦–]|\(?\d{1,3}[.)]|\(?[A-Za-z][.)])\s+")
 STRUCT = re.compile(r'["(){}\[\]`«»“”„「」]|\*\*|\\.')
@@ -158,7 +159,7 @@ def end_state(value: str) -> tuple[str, str, str]:
     if last in CLOSERS:
         return CLOSED, "closer", ""
     line = paragraph.rpartition("\n")[2].rstrip()
-    if last == "," or BROKEN.search(text[-90:]):
+    if last == "," or BROKEN.search(text[-12:]) or OPEN_TAG.fullmatch(text, max(0, text.rfind("<"))):
         return OPEN, "separator" if last == "," else "escape", ""
     found = TOKEN.findall(line)
     end = found[-1].lower() if found and line.endswith(found[-1]) else ""
@@ -186,44 +187,59 @@ def end_state(value: str) -> tuple[str, str, str]:
 
 
 #: kind 'v': a value; kind 'w': how often a word occurred, and how often as the end of a sentence (with an id: in one
-#: delivery of that conversation).
-SCHEMA = "kind string, id string, msg_pos int, field string, source string, role string, n_chars int, state string, reason string, word string, total long, ending long"
-_ARROW = pa.schema([("kind", pa.string()), ("id", pa.string()), ("msg_pos", pa.int32()), ("field", pa.string()), ("source", pa.string()), ("role", pa.string()), ("n_chars", pa.int32()), ("state", pa.string()), ("reason", pa.string()), ("word", pa.string()), ("total", pa.int64()), ("ending", pa.int64())])
+#: delivery of that conversation). ``again``: the row's conversation may have been delivered more than once.
+SCHEMA = "kind string, id string, msg_pos int, field string, source string, role string, n_chars int, state string, reason string, word string, total long, ending long, again boolean"
+_TYPES = {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "string": pa.string()}
+_ARROW = pa.schema([(n, _TYPES[t]) for n, t in (c.split() for c in SCHEMA.split(", "))])
 
-FLUSH = 200_000  # words held by a task before partial counts are passed on
-SLOTS = 1 << 23  # bits of the bitmap of redelivered ids (1 MB)
+FLUSH = 4_000_000  # characters of words held by a task before partial counts are passed on
+SLOTS = 1 << 25  # bits of the bitmap of redelivered ids (4 MB)
 
 
 class EndCounts:
     """Partial counts of words and of sentence ends; bounded memory, summed by a later aggregate.
 
-    Strings between blanks are counted as they are; signs are taken off once per distinct string. Strings of over
-    ``LONG`` characters (scripts without blanks, blobs) hold no single word and are passed over.
+    Strings between blanks are counted as they are, and signs are taken off once per distinct string; strings of over
+    ``LONG`` characters (scripts without blanks, blobs), which hardly recur, are taken apart at once.
     """
 
     LONG = 60
 
     def __init__(self) -> None:
         self.held: Counter[str] = Counter()
+        self.total: Counter[str] = Counter()
+        self.ending: Counter[str] = Counter()
+        self.seen = 0
 
     def add(self, value: str) -> None:
-        self.held.update(value.lower().split())
+        parts = value.lower().split()
+        self.seen += len(value)
+        if len(value) > self.LONG and max(map(len, parts)) > self.LONG:
+            for x in parts:
+                if len(x) > self.LONG:
+                    self._count(x, 1)
+            parts = [x for x in parts if len(x) <= self.LONG]
+        self.held.update(parts)
+
+    def _count(self, blank_free: str, n: int) -> None:
+        found = TOKEN.findall(blank_free)
+        for w in found:
+            self.total[w] += n
+        if found and ENDED.search(blank_free):
+            self.ending[found[-1]] += n
+
+    @property
+    def full(self) -> bool:
+        """Whether enough text was seen to pass the counts on; a bound on memory even if no word recurs."""
+        return self.seen > FLUSH
 
     def rows(self, record: str | None = None) -> Iterator[tuple]:
         """What is held, as rows; ``record``: the id, where the counts are those of one delivery of it."""
-        total: Counter[str] = Counter()
-        ending: Counter[str] = Counter()
         for blank_free, n in self.held.items():
-            if len(blank_free) > self.LONG:
-                continue
-            found = TOKEN.findall(blank_free)
-            for w in found:
-                total[w] += n
-            if found and ENDED.search(blank_free):
-                ending[found[-1]] += n
-        self.held.clear()
-        for w, n in total.items():
-            yield ("w", record, None, None, None, None, None, None, None, w, n, ending.get(w, 0))
+            self._count(blank_free, n)
+        for w, n in self.total.items():
+            yield ("w", record, None, None, None, None, None, None, None, w, n, self.ending.get(w, 0))
+        self.__init__()
 
 
 def value_row(record: str, pos: int, field: str, role: str, value: str) -> tuple:
@@ -269,22 +285,26 @@ def scan_texts(conversations: DataFrame, extra: Callable[..., Iterator[tuple]] |
         def rows() -> Iterator[tuple]:
             repeated, counts, single = sent.value, EndCounts(), EndCounts()
             for record, at, roles, *values in rows_of(batches, "id", "slot", "role", *fields):
-                again = repeated[at >> 3] >> (at & 7) & 1
+                again = bool(repeated[at >> 3] >> (at & 7) & 1)
                 held = single if again else counts
                 for pos, role in enumerate(roles or []):
                     if role not in ("user", "assistant", "tool"):
                         continue
                     for field, column in zip(fields, values):
                         if (value := column[pos]) and not value.isspace():
-                            yield value_row(record, pos, field, role, value)
+                            yield (*value_row(record, pos, field, role, value), again)
                             held.add(value)
                 if extra and roles:
-                    yield from extra(record, roles, values[0])
+                    for row in extra(record, roles, values[0]):
+                        yield (*row, again)
                 if again:
-                    yield from single.rows(record)
-                elif len(counts.held) > FLUSH:
-                    yield from counts.rows()
-            yield from counts.rows()
+                    for row in single.rows(record):
+                        yield (*row, True)
+                elif counts.full:
+                    for row in counts.rows():
+                        yield (*row, False)
+            for row in counts.rows():
+                yield (*row, False)
 
         yield from to_batches(rows(), _ARROW)
 
@@ -296,6 +316,11 @@ def value_ends(conversations: DataFrame) -> DataFrame:
     return scan_texts(conversations)
 
 
+def once_each(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row for each key. Only rows of conversations that may have been delivered again are compared by key."""
+    return rows.where("NOT again").unionByName(rows.where("again").dropDuplicates(keys))
+
+
 def size_limits(values: DataFrame, *, min_count: int = 5, factor: float = 6.0, reach: int = 25) -> DataFrame:
     """Lengths at which the values of a source and field pile up: (source, field, n_chars, at_limit).
 
@@ -325,8 +350,8 @@ def judge(values: DataFrame, counts: DataFrame, *, fragment: float = 0.5, rare_e
       ``casual_sources`` over at least ``evidence`` values (a source that never writes terminators); then only the
       tests above count.
     """
-    values = values.drop("total", "ending").dropDuplicates(["id", "msg_pos", "field"])
-    counts = counts.where("id IS NULL").unionByName(counts.where("id IS NOT NULL").dropDuplicates(["id", "word"]))
+    values = once_each(values, ["id", "msg_pos", "field"]).drop("total", "ending", "again")
+    counts = once_each(counts, ["id", "word"])
     limits = size_limits(values)
     soft = values.where(F.col("state") != CLOSED)
     ends = soft.where(F.col("word") != "").groupBy("word").agg(F.count("*").alias("as_end"))
@@ -356,7 +381,7 @@ def truncated_values(conversations: DataFrame) -> DataFrame:
 def truncation_report(conversations: DataFrame) -> DataFrame:
     """(source, field, n_values, n_cut, share_cut): how often each source truncates. Blank values don't count."""
     scanned = cut_lineage(value_ends(conversations))
-    values = scanned.where("kind = 'v'").dropDuplicates(["id", "msg_pos", "field"])
+    values = once_each(scanned.where("kind = 'v'"), ["id", "msg_pos", "field"])
     cut = judge(scanned.where("kind = 'v'"), scanned.where("kind = 'w'")).where("cut").groupBy("source", "field").agg(F.count("*").alias("n_cut"))
     return (
         values.groupBy("source", "field").agg(F.count("*").alias("n_values"))

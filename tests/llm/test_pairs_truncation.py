@@ -123,3 +123,26 @@ def test_pairs_judge_cuts_by_the_words_of_both_fields(conversations):
         df = conversations(data)
         assert rows(P.broken_pairs(df), "id", "defect") == want
         assert rows(T.truncated_values(df).where("field = 'content'"), "id") == [(x[0],) for x in want]
+
+
+@pytest.mark.parametrize("answer,defect", [
+    ("As an AI language model, I cannot fulfill this request.", "refusal"), ("I cannot comply with this request.", "refusal"), ("I'm not comfortable providing that information.", "refusal"), ("我无法帮助您完成这个请求。", "refusal"), ("抱歉，答案是四十二。", "other_language"),
+    ("I can't help with that. " + "Our safety policies do not allow it, and I understand that the topic matters to you. " * 40, "refusal"), ("I cannot share the log, but the buffer drains when the queue of the other shard is full at night.", None),
+    ("I can't help with the log. " + "The buffer drains when the queue of the other shard is full at night. " * 4, None), ("-" * 300, "empty"), ("\u200b" * 5000, "empty"), ("- " * 400 + "7", None),
+    ("Bufor jest opróżniany, gdy kolejka nie jest pełna, ale to nie jest problem, który się pojawia.", "other_language"), ("Bufferen tømmes når køen ikke er full, og det er ikke noe som skjer ved den andre.", "other_language"),
+])
+def test_answers_of_any_length_and_language(answer, defect):
+    assert P.pair_defect(Q, answer) == defect
+
+
+def test_copy_in_a_script_without_blanks():
+    asked = "请问缓存队列为什么会在夜间变慢并且丢失数据？"
+    assert P.pair_defect(asked, asked.replace("夜间", "夜晚")) == "copy" and P.pair_defect(asked, "因为缓存队列在夜间需要等待其他分片的数据，所以变慢。") is None
+
+
+def test_open_tag_of_any_length_and_long_strings():
+    assert T.end_state("Done. <a class=x" + "y" * 1000)[0] == "open" and T.end_state("why is x < y in the queue")[0] == "casual"
+    counts = T.EndCounts()
+    counts.add("数据" * 50 + "。 word " + "x" * 200 + ".")
+    got = {r[9]: r[10:] for r in counts.rows()}
+    assert got["数据" * 50] == (1, 1) and got["x" * 200] == (1, 1) and got["word"] == (1, 0) and not list(counts.rows())
