@@ -1,14 +1,19 @@
 """Evaluation passages inside training documents.
 
 Method: pigeonhole edit matching. The words of a test item are split into pieces so short that each of its runs of
-five words holds a whole one; a document that has a run must then hit its piece. Exact piece hits come from one
-Aho-Corasick pass over the document's words, each cluster of hits is aligned to the item with Myers' bit-parallel
-distance (on words, with integers of any width), and an exact count of the item's distinct runs of five words decides.
+five words holds a whole one: an item that keeps enough runs whatever its edits must keep their pieces. Exact piece
+hits come from one Aho-Corasick pass over the document's words. Each stretch of hits on one diagonal is verified with
+Myers' bit-parallel distance (on words, with integers of any width): a stretch of L words at distance d holds at most
+L - d - 4 whole runs, and an item whose stretches can't hold enough runs is rejected there. What Myers' distance lets
+pass is checked exactly: the share of the item's distinct runs of five words decides.
 
-Why no leak is lost: a document has a run only if it has every piece inside it, whatever was changed, inserted, left
-out, repeated or moved around it. The share of the item's distinct runs whose pieces are all hit is therefore never
-below the share that the document has, and candidates with less than the threshold are dropped unseen: stock phrases
-shared by many items cost no alignment. Items of few pieces use all their runs as pieces.
+Why no leak is lost: a document has a run only if it has every piece inside it, on the run's diagonal, whatever was
+changed, inserted, left out, repeated or moved around it. So the share of the item's runs whose pieces are all hit is
+never below the share that the document has (stock phrases of many items are dropped by that before any alignment);
+and on a diagonal the words that runs cover are matched by the alignment along it, so the distance is at most the
+number of the others. Items of few pieces use all their runs as pieces.
+
+Items are sent to the tasks in blocks of bounded size, each block a scan of the documents of its own.
 
 Edge cases: null and blank texts have no hits; items with fewer words than a run never match; null ids stay null;
 items listed twice count once by id; texts of any length are matched whole; extra columns are ignored; empty tables
@@ -17,8 +22,10 @@ give no rows.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import accumulate
 
 import ahocorasick
 import pyarrow as pa
@@ -29,7 +36,7 @@ from quarrymill.llm.truncation import to_batches
 from quarrymill.llm.words import runs, words
 
 RUN, THRESHOLD = 5, 0.4
-ITEM_BYTES = 32 << 20  # text of items that is sent to the tasks at once; more items are matched in several blocks
+ITEM_BYTES = 8 << 20  # UTF-8 bytes of items that are sent to the tasks at once; more items are matched in several blocks
 
 
 def piece_length(run: int = RUN) -> int:
@@ -148,27 +155,29 @@ class Matcher:
         found = list(self.automaton.iter(joined))
         if not found:
             return
-        hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        stock: list[tuple[int, int, int]] = []
+        behind = list(accumulate((len(w) + 1 for w in tokens), initial=0))  # where the blank behind each word stands
+        hits: dict[int, list[tuple[int, int]]] = defaultdict(list)  # by item: (piece, first word in the document)
+        stock: list[tuple[int, int]] = []
         for end, (n, size) in found:
+            at = bisect_left(behind, end) - size
             if self.stock[n]:
-                stock.append((n, end, size))
+                stock.append((n, at))
             for k, j in self.owners[n]:
                 if not (self.stock[n] and self.needs_own[k]):
-                    hits[k].append((j, end))
+                    hits[k].append((j, at))
         if not hits:
             return
-        for n, end, _ in stock:
+        for n, at in stock:
             for k, j in self.owners[n]:
                 if self.needs_own[k] and k in hits:
-                    hits[k].append((j, end))
+                    hits[k].append((j, at))
         have = None
         for k, at in hits.items():
             item = self.items[k]
             if item.most({j for j, _ in at}) < self.threshold:
                 continue
-            leaked, distance = self.align(item, at, joined, tokens)
-            if leaked < item.size:
+            most, leaked, distance = self.verify(item, at, tokens)
+            if most < self.threshold * len(item.runs):
                 continue
             if have is None:
                 have = runs(tokens, self.run)
@@ -176,36 +185,29 @@ class Matcher:
             if share >= self.threshold:
                 yield item.item_id, len({j for j, _ in at}), leaked, distance, round(share, 6)
 
-    def align(self, item: Item, at: list[tuple[int, int]], joined: str, tokens: list[str]) -> tuple[int, int]:
-        """(words of the item found, edit distance over the stretches aligned): each cluster of hits on neighbouring
-        diagonals is widened by a piece on both sides and aligned with the document there."""
-        slack = 2 * item.p
-        placed = sorted((joined.count(" ", 0, end) - item.size, item.starts[j]) for j, end in at)
-        clusters: list[list[int]] = []  # first and last start in the document, first and last start in the item
-        for d, i in placed:
-            last = clusters[-1] if clusters else None
-            if last and abs((d - i) - (last[1] - last[3])) <= slack and i >= last[3] and d - last[1] <= 8 * item.p:
-                last[1], last[3] = d, i
-            else:
-                clusters.append([d, d, i, i])
-        leaked = distance = 0
+    def verify(self, item: Item, at: list[tuple[int, int]], tokens: list[str]) -> tuple[int, int, int]:
+        """(whole runs of the item that the document can hold at most, words of the item found, edit distance) from
+        Myers' distances of the stretches of hits, widened by a piece on both sides."""
+        diagonals: dict[int, set[int]] = defaultdict(set)
+        for j, d in at:
+            diagonals[d - item.starts[j]].add(item.starts[j])
+        most = leaked = distance = 0
         seen = bytearray(len(item.words))
-        for d0, d1, i0, i1 in clusters:
-            a, b = max(0, i0 - item.p), min(len(item.words), i1 + item.size + item.p)
-            while a < b and seen[a]:
-                a += 1
-            if a >= b:
-                continue
-            region = tokens[max(0, d0 - slack) : d1 + item.size + slack]
-            dist = myers_distance(item.words[a:b], region)
-            core = item.words[i0 : i1 + item.size]
-            near = myers_distance(core, region)
-            if len(core) - near > (b - a) - dist:
-                a, b, dist = i0, i1 + item.size, near
-            leaked += b - a - dist
-            distance += dist
-            seen[a:b] = b"\x01" * (b - a)
-        return leaked, distance
+        for diagonal in sorted(diagonals, key=lambda x: (-len(diagonals[x]), x)):
+            places = sorted(diagonals[diagonal])
+            first = places[0]
+            for here, after in zip(places, [*places[1:], None]):
+                if after is not None and after - here <= 8 * item.p:
+                    continue
+                a, b = max(0, first - item.p), min(len(item.words), here + item.size + item.p)
+                d = myers_distance(item.words[a:b], tokens[max(0, diagonal + a - item.p) : max(0, diagonal + b + item.p)])
+                most += max(0, b - a - d - (self.run - 1))
+                fresh = b - a - sum(seen[a:b])
+                leaked += max(0, fresh - d)
+                distance += min(d, fresh)
+                seen[a:b] = b"\x01" * (b - a)
+                first = after
+        return most, leaked, distance
 
 
 SCHEMA = "doc_id bigint, item_id bigint, n_hits int, leaked_words int, edit_distance int, containment double"
@@ -220,11 +222,12 @@ def item_blocks(items: DataFrame, limit: int) -> Iterator[list[tuple]]:
         if item_id == last:
             continue
         last = item_id
-        if held and size + len(text) > limit:
+        n = len(text.encode("utf-8", "replace"))
+        if held and size + n > limit:
             yield held
             held, size = [], 0
         held.append((item_id, text))
-        size += len(text)
+        size += n
     if held:
         yield held
 

@@ -194,3 +194,25 @@ def test_bitmap_keeps_all_candidates(spark):
     kept = N.maybe_among(df, wanted)
     assert kept.columns == ["id", "x"] and kept.join(wanted, "id", "left_semi").count() == wanted.count() and kept.count() < 1.05 * wanted.count()
     assert N.maybe_among(df, wanted.limit(0)).count() == 0
+
+
+def test_distance_bounds_the_runs_a_document_holds():
+    """What Myers' distance allows is never less than the runs that are there, whatever edits were made; and it rejects."""
+    rng = random.Random(21)
+    rejected = 0
+    for n in (7, 14, 30, 90):
+        w = [rng.choice("abcdefgh") + str(rng.randrange(9)) for _ in range(n)]
+        matcher = L.Matcher([(1, " ".join(w))], L.RUN, L.THRESHOLD)
+        item = matcher.items[0]
+        for _ in range(150):
+            doc = list(w)
+            for _ in range(rng.randrange(1, n)):
+                at = rng.randrange(len(doc) + 1)
+                doc[at : at + rng.randrange(2)] = [rng.choice(w)] * rng.randrange(3)
+            doc = doc[rng.randrange(n // 2 + 1) :] + ["zz"] + w[: rng.randrange(n)]
+            at = [(j, d) for j, s in enumerate(item.starts) for d in range(len(doc)) if doc[d : d + item.size] == w[s : s + item.size]]
+            if at:
+                most, leaked, distance = matcher.verify(item, at, doc)
+                assert most >= len(item.runs & runs(doc, 5)) and 0 <= leaked <= n and distance >= 0
+                rejected += most < 0.4 * len(item.runs)
+    assert rejected
