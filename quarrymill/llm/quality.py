@@ -1,7 +1,8 @@
 """Per-document measures of wording and layout, and the verdict which documents aren't natural prose.
 
-Method: tables and lists are found from vertical delimiter alignment, from the period of indentation and entry signs,
-and from the autocorrelation of line lengths, combined with word, symbol and punctuation ratios.
+Method: tables and lists are found from vertical delimiter alignment, from the period of indentation and entry signs
+(which joins continuation lines to their entry, and is evidence for a list of lines), and from the autocorrelation of
+line lengths, combined with word, symbol and punctuation ratios.
 
 A document is judged on its body: what is left without heading lines and without one opening sentence. ``kind`` is
 ``junk``, ``table`` or ``list``; null for natural prose, and for null and blank texts, whose measures are 0.
@@ -36,7 +37,8 @@ HEADING = re.compile(r"\s*(?:#{1,6}[ \t]|={3,}$|-{3,}$|\*{3,}$)")
 TERMINALS, CLOSERS = frozenset(".?!。？！…"), "\"'»”)]` "
 NUMERIC = re.compile(r"[-+]?[\d.,]+%?$|n/?a$|-$", re.IGNORECASE)
 GAP = re.compile(r"(?<=\S)(?: {2,}|\t+)(?=\S)")
-TAG = re.compile(r"<[^<>\n]{1,200}>")
+TAG = re.compile(r"<[^<>\n]+>")
+SENTENCE_END = re.compile(r"[.?!。？！][\"'»”)]*(?:\s|$)|[。？！]")
 CELL = re.compile(r"</t[dh]>|</tr>|<t[dh][ >]", re.IGNORECASE)
 DELIMITERS = ("\t", "|", "│", "¦", ";", ",", "&", " :: ", "</td>")
 
@@ -65,12 +67,45 @@ def autocorrelation(lengths: list[int], most: int = 12) -> tuple[float, int]:
     return round(best[0], 6), best[1]
 
 
+def period(values: list[int], most: int = 12) -> tuple[float, int]:
+    """(strength, lag) of the period of a sequence: the largest autocorrelation over lags from 2 on, each lag by the
+    terms it has; 0 for sequences that are constant or too short to repeat."""
+    n = len(values)
+    mean = sum(values) / max(1, n)
+    d = [x - mean for x in values]
+    var = sum(x * x for x in d)
+    if n < 4 or var == 0:
+        return 0.0, 0
+    best = max((sum(d[i] * d[i + k] for i in range(n - k)) / (n - k) / (var / n), -k) for k in range(2, min(most, n // 2) + 1))
+    return round(min(1.0, best[0]), 6), -best[1]
+
+
+def depths(lines: list[str]) -> list[int]:
+    return [len(x) - len(x.lstrip()) for x in lines]
+
+
 def indent_period(lines: list[str]) -> float:
-    """Share of lines whose indentation recurs: the same depth within the three lines before."""
-    depth = [len(x) - len(x.lstrip()) for x in lines]
-    if len(depth) < 2:
-        return 0.0
-    return sum(depth[i] in depth[max(0, i - 3) : i] for i in range(1, len(depth))) / (len(depth) - 1)
+    """How strongly the indentation of lines recurs with a period."""
+    return max(0.0, period(depths(lines))[0])
+
+
+def folded(lines: list[str], signs: list[bool], least: float = 0.3) -> list[bool]:
+    """Whether each line is an entry, once continuation lines are joined to theirs: where indentation or entry signs
+    recur with a period, a line without a sign that stands deeper than the last sign belongs to that entry."""
+    deep = depths(lines)
+    if all(signs) or not any(signs) or max(period(deep)[0], period([int(s) for s in signs])[0]) < least:
+        return signs
+    out: list[bool] = []
+    level = -1
+    for sign, d in zip(signs, deep):
+        if sign:
+            level = d
+        elif 0 <= level < d:
+            continue
+        else:
+            level = -1
+        out.append(sign)
+    return out
 
 
 def aligned_delimiter(lines: list[str]) -> tuple[str, float, int]:
@@ -96,16 +131,21 @@ def aligned_columns(lines: list[str]) -> int:
     return sum(n >= 0.85 * len(lines) for n in starts.values())
 
 
+def short_opening(text: str, room: int = 1) -> bool:
+    """Whether a text may be an opening: one sentence of any length, or a few (``room``: none if negative) in 60 words."""
+    return sum(1 for _ in SENTENCE_END.finditer(text)) <= 1 or room >= 0 and len(text.split()) <= 60
+
+
 def body_of(text: str) -> list[str]:
     """Lines of the body: no blank lines, no headings, no opening sentence (if anything is left without it)."""
     lines = [x.rstrip() for x in text.split("\n")]
     kept = [x for x in lines if x.strip() and not HEADING.match(x)]
-    if len(kept) > 1 and is_full(kept[0]) and not is_entry(kept[0]) and 4 <= len(kept[0].split()) <= 60:
+    if len(kept) > 1 and is_full(kept[0]) and not is_entry(kept[0]) and len(kept[0].split()) >= 4 and short_opening(kept[0]):
         return kept[1:]
     if len(kept) > 3:  # an opening sentence may be wrapped: up to the first blank line
         first = next((i for i, x in enumerate(lines) if not x.strip()), 0)
         opening = [x for x in lines[:first] if not HEADING.match(x)]
-        if 1 <= len(opening) <= 4 and is_full(opening[-1]) and len(" ".join(opening).split()) <= 60 and not any(map(is_entry, opening)):
+        if opening and is_full(opening[-1]) and short_opening(" ".join(opening), 4 - len(opening)) and not any(map(is_entry, opening)):
             return kept[len(opening) :] or kept
     return kept
 
@@ -174,17 +214,18 @@ def measures(text: str | None) -> tuple:
     common = sum(w in COMMON for w in found if len(w) > 1)
     solid = len(text) - sum(map(text.count, " \n\t\r"))
     delimiter, share, modal = aligned_delimiter(body) if len(body) >= 2 else ("", 0.0, 0)
-    entries = sum(is_entry(x) for x in body) / len(body) if body else 0.0
-    period = indent_period(body)
+    signs = folded(body, list(map(is_entry, body)))
+    entries = sum(signs) / len(signs) if signs else 0.0
+    recurrence = indent_period(body)
     correlation, _ = autocorrelation(list(map(len, body)))
-    kind, reason = verdict(body, found, common, delimiter, share, modal, entries, correlation)
+    kind, reason = verdict(body, found, common, delimiter, share, modal, entries, correlation, recurrence)
     return (
         n, round(size / n, 6) if n else 0.0, round(max(0, solid - size) / max(1, solid), 6), round(sum(map(is_full, lines)) / len(lines), 6),
-        round((common + sum(w in COMMON for w in beside if len(w) > 1)) / n, 6) if n else 0.0, round(share, 6), round(entries, 6), round(period, 6), correlation, kind, reason,
+        round((common + sum(w in COMMON for w in beside if len(w) > 1)) / n, 6) if n else 0.0, round(share, 6), round(entries, 6), round(recurrence, 6), correlation, kind, reason,
     )
 
 
-def verdict(body: list[str], found: list[str], common: int, delimiter: str, share: float, modal: int, entries: float, correlation: float) -> tuple[str | None, str | None]:
+def verdict(body: list[str], found: list[str], common: int, delimiter: str, share: float, modal: int, entries: float, correlation: float, recurrence: float) -> tuple[str | None, str | None]:
     """(kind, reason) of a document from its body and layout measures."""
     if not body:
         return None, None
@@ -212,7 +253,7 @@ def verdict(body: list[str], found: list[str], common: int, delimiter: str, shar
         return "list", "entries"
     if n >= 4 and full <= 0.1 and per_line <= 7 and sum(len(x) for x in body) / n <= 60:
         named = sum(FIELD.match(x) is not None for x in body) / n
-        if entries >= 0.5 or named >= 0.8 or per_line <= 6 or correlation >= 0.5 or common < 0.12 * max(1, len(found)):
+        if entries >= 0.5 or named >= 0.8 or per_line <= 6 or correlation >= 0.5 or recurrence >= 0.5 or common < 0.12 * max(1, len(found)):
             return "list", "lines"
     return None, None
 

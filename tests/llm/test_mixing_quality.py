@@ -109,3 +109,24 @@ def test_mix_is_the_same_however_rows_are_partitioned(spark):
     mix = lambda df: rows(M.mixed_with_shares(df, targets), "doc_id", "n_copies")
     first = mix(twice.repartition(3))
     assert first and first == mix(twice.repartition(7, "text")) == mix(twice.coalesce(1).orderBy(F.desc("doc_id")))
+
+
+def test_periods():
+    assert Q.period([0, 2, 2, 0, 2, 2, 0, 2, 2]) == (1.0, 3) and Q.period([1, 1, 1, 1]) == (0.0, 0) and Q.period([1, 2]) == (0.0, 0)
+    wrapped = [x for i in range(6) for x in (f"- the router drains window {i} of the other shard", "  when its queue is full, and that is", "  the end of it")]
+    assert Q.indent_period(wrapped) == 1.0 and Q.folded(wrapped, [x[0] == "-" for x in wrapped]) == [True] * 6
+    prose = ["The queue drains.", "- one", "  more", "It was slow.", "It was late.", "- two", "  more", "It was done."]
+    assert Q.folded(prose, [x[0] == "-" for x in prose]).count(False) == 4
+
+
+def test_wrapped_entries_make_a_list():
+    """Told by the period of indentation alone: a third of the lines have signs."""
+    text = "\n".join(f"{i}. step {i} drains the window of a shard\n   once the queue is full and the other\n   ledger is closed for that night" for i in range(1, 9))
+    assert Q.measures(text)[9:] == ("list", "entries")
+    assert Q.measures(PROSE + "\n\n- one thing\n  and more of it\n- another\n  and more\n\n" + PROSE + "\n" + PROSE)[9] is None
+
+
+def test_openings_of_any_length():
+    items = "\n".join(f"- point {i} of plan" for i in range(9))
+    assert Q.measures("The points " + "of the plan and of the other plan " * 40 + "are these.\n\n" + items)[9] == "list"
+    assert Q.measures((PROSE + " ") * 6 + "\n\n" + "\n".join(f"- point {i} of plan" for i in range(2)))[9] is None
