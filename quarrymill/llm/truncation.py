@@ -193,7 +193,7 @@ _TYPES = {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "string"
 _ARROW = pa.schema([(n, _TYPES[t]) for n, t in (c.split() for c in SCHEMA.split(", "))])
 
 FLUSH = 4_000_000  # characters of words held by a task before partial counts are passed on
-SLOTS = 1 << 25  # bits of the bitmap of redelivered ids (4 MB)
+SLOTS = 1 << 23  # bits of the bitmap of redelivered ids (1 MB); n such ids let n / SLOTS of the other rows be compared by key too
 
 
 class EndCounts:
