@@ -1,14 +1,16 @@
 """Deeply nested records as related flat tables that keep parent-child links.
 
-Method: each record is parsed into path-value-ordinal triples, paths are grouped by their nearest repeated ancestor,
-and each group is pivoted into one table whose key is the record and the ordinals along the path. Typed columns have
-their paths in the schema, so Catalyst does this with one position-keeping explode per repeated ancestor and reads
-only the leaves that are asked for; raw JSON lines are parsed and pivoted record by record inside one Arrow pass.
+Method: each record becomes path-value-ordinal triples, paths are grouped by their nearest repeated ancestor, and each
+group is pivoted into one table whose key is the record and the ordinals along the path. ``shred`` does this for typed
+columns: the paths are in the schema, so Catalyst keeps positions with one explode per repeated ancestor and reads only
+the leaves below the ancestors that are asked for. Raw JSON lines are scanned once from left to right by ``Scanner``,
+which emits the triples of any record as it goes (no tree is built and no key is known to it); ``pivot`` groups them.
 Neither needs a shuffle: a record's triples never leave its task.
 
-Raw lines: values encoded again as text are decoded wherever a container is expected; a lone object or lists of lists
-count as one plain list; ``messages``/``conversations``, ``role``/``from`` and ``content``/``value`` are the same keys.
-What can't be parsed whole gives no rows.
+Raw lines: ``Layout`` says which paths hold lists of records, however they are wrapped, and which names mean the same.
+There values encoded again as text are decoded, and a lone object, an object of entries or lists of lists count as one
+plain list; ``messages``/``conversations``, ``role``/``from`` and ``content``/``value`` are the same keys. What can't be
+parsed whole gives no rows.
 
 Edge cases: null or empty containers give no rows; entries that are no objects keep their place but give no row;
 missing ids and names are ''; redelivered rows and lines count once by record id; a raw record without id is named
@@ -17,8 +19,14 @@ missing ids and names are ''; redelivered rows and lines count once by record id
 
 from __future__ import annotations
 
+import copy
+import itertools
 import json
-from collections.abc import Iterator
+import math
+import re
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
+from json.decoder import scanstring
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -48,143 +56,298 @@ def leaf_columns(schema: T.DataType, value: Column, taken: list[str], owner: str
     return [] if isinstance(schema, T.ArrayType) else [value.alias(f"{owner}_{name}" if name in taken else name)]
 
 
-def shred(df: DataFrame, key: str) -> dict[str, DataFrame]:
+def repeated_children(schema: T.DataType, prefix: tuple[str, ...] = ()) -> list[tuple[tuple[str, ...], T.ArrayType]]:
+    """(path, type) of the arrays below a type that only structs lead to."""
+    if isinstance(schema, T.StructType):
+        return [c for f in schema.fields for c in repeated_children(f.dataType, (*prefix, f.name))]
+    return [(prefix, schema)] if isinstance(schema, T.ArrayType) else []
+
+
+def shred(df: DataFrame, key: str | list[str]) -> dict[str, DataFrame]:
     """One flat table per repeated ancestor of a typed DataFrame, and one (path '') for the root.
 
-    A table's key is ``key`` and one ordinal ``pos_<k>`` per repeated ancestor on its path, counted from 0; its other
-    columns are the group's leaves. Null entries keep their ordinal with null leaves.
-    """
-    root = df.select(F.col(key), *[c for f in df.schema.fields if f.name != key for c in leaf_columns(f.dataType, F.col(f.name), [key], "root", f.name)])
+    A table's key is ``key`` (a column or several) and one ordinal ``pos_<k>`` per repeated ancestor on its path, counted
+    from 0; its other columns are the group's leaves and ``present``. Null entries keep their ordinal with null leaves
+    and are not ``present``. A table reads the leaves of its own ancestor only."""
+    keys = [key] if isinstance(key, str) else list(key)
+    root = df.select(*keys, *[c for f in df.schema.fields if f.name not in keys for c in leaf_columns(f.dataType, F.col(f.name), keys, "root", f.name)])
     tables = {"": root}
 
-    def walk(frame: DataFrame, keys: list[str], value: Column, schema: T.DataType, path: str) -> None:
-        if isinstance(schema, T.StructType):
-            for f in schema.fields:
-                walk(frame, keys, value.getField(f.name), f.dataType, f"{path}.{f.name}")
-        elif isinstance(schema, T.ArrayType):
-            pos, item = f"pos_{len(keys) - 1}", "item_"
-            opened = frame.select(*keys, F.posexplode(value).alias(pos, item))
-            tables[path] = opened.select(*keys, pos, *leaf_columns(schema.elementType, F.col(item), [*keys, pos], path.rpartition(".")[2]))
-            walk(opened, [*keys, pos], F.col(item), schema.elementType, path)
+    def walk(frame: DataFrame, keys: list[str], value: Column, schema: T.ArrayType, path: str, level: int) -> None:
+        pos = f"pos_{level}"
+        entry = frame.select(*keys, F.posexplode(value).alias(pos, "item_"))
+        taken = [*keys, pos, "present"]
+        tables[path] = entry.select(*keys, pos, F.col("item_").isNotNull().alias("present"), *leaf_columns(schema.elementType, F.col("item_"), taken, path.rpartition(".")[2]))
+        for below, child in repeated_children(schema.elementType):
+            inner = value
+            for f in below:
+                inner = inner.getField(f)
+            walk(frame.select(*keys, F.posexplode(inner).alias(pos, "item_")), [*keys, pos], F.col("item_"), child, ".".join((path, *below)) if below else path + "[]", level + 1)
 
     for f in df.schema.fields:
-        if f.name != key:
-            walk(df, [key], F.col(f.name), f.dataType, f.name)
+        if f.name not in keys:
+            for below, child in repeated_children(f.dataType):
+                value = F.col(f.name)
+                for x in below:
+                    value = value.getField(x)
+                walk(df, keys, value, child, ".".join((f.name, *below)), 0)
     return tables
 
 
 def typed_calls(conversations: DataFrame) -> DataFrame:
     """(rec_id, msg_pos, item_pos, item_key, function_name, arguments, tool_pos) of every tool call."""
-    names = F.col("tools").getField("function").getField("name")
-    opened = (
-        conversations.where("id IS NOT NULL")
-        .select(F.col("id").cast("string").alias("rec_id"), names.alias("names"), F.posexplode(F.col("conversations").getField("tool_calls")).alias("msg_pos", "calls"))
-        .where(F.size("calls") > 0)
-        .select("rec_id", "names", "msg_pos", F.posexplode("calls").alias("item_pos", "call"))
-        .where("call IS NOT NULL")
-    )
-    name = F.col("call").getField("function").getField("name")
-    return opened.select(
-        "rec_id", "msg_pos", "item_pos", F.coalesce(F.col("call").getField("id"), F.lit("")).alias("item_key"), name.alias("function_name"),
-        F.col("call").getField("function").getField("arguments").alias("arguments"),
-        F.coalesce(F.array_position("names", name).cast("int") - 1, F.lit(-1)).alias("tool_pos"),
+    names = F.col("tools").getField("function").getField("name").alias("names")
+    calls = shred(conversations.where("id IS NOT NULL").select(F.col("id").cast("string").alias("rec_id"), names, "conversations"), ["rec_id", "names"])["conversations.tool_calls"]
+    return calls.where("present").select(
+        "rec_id", F.col("pos_0").alias("msg_pos"), F.col("pos_1").alias("item_pos"), F.coalesce("id", F.lit("")).alias("item_key"), "function_name", F.col("function_arguments").alias("arguments"),
+        F.coalesce(F.array_position("names", F.col("function_name")).cast("int") - 1, F.lit(-1)).alias("tool_pos"),
     )
 
 
 def typed_tools(conversations: DataFrame) -> DataFrame:
     """(rec_id, item_pos, item_key, type, description, parameters) of every declared tool."""
-    opened = conversations.where("id IS NOT NULL").select(F.col("id").cast("string").alias("rec_id"), F.posexplode("tools").alias("item_pos", "tool")).where("tool IS NOT NULL")
-    f = F.col("tool").getField("function")
-    return opened.select("rec_id", "item_pos", F.coalesce(f.getField("name"), F.lit("")).alias("item_key"), F.col("tool").getField("type").alias("type"), f.getField("description").alias("description"), f.getField("parameters").alias("parameters"))
+    tools = shred(conversations.where("id IS NOT NULL").select(F.col("id").cast("string").alias("rec_id"), "tools"), "rec_id")["tools"]
+    return tools.where("present").select("rec_id", F.col("pos_0").alias("item_pos"), F.coalesce("function_name", F.lit("")).alias("item_key"), "type", F.col("function_description").alias("description"), F.col("function_parameters").alias("parameters"))
 
 
 # --- raw lines ---------------------------------------------------------------------------------------------------
 
-_MISSING = object()
 
-
-def decode(value, depth: int = 8):
-    """A container that may have been encoded again as text, up to ``depth`` times; _MISSING if it can't be parsed."""
-    while isinstance(value, str):
-        if depth == 0 or not value.strip():
-            return _MISSING
+@dataclass(frozen=True)
+class Layout:
+    """Paths (``[]`` behind each repeated ancestor) at which a record holds lists of records, with the names that tell a
+    lone record from an object of entries; and paths of single objects that may be encoded again as text."""
+
+    lists: dict[str, frozenset[str]]
+    objects: frozenset[str] = frozenset()
+
+
+_CALL, _MESSAGE = frozenset({"id", "type", "function"}), frozenset({"role", "from", "content", "value"})
+CONVERSATION = Layout(
+    {"conversations": _MESSAGE, "messages": _MESSAGE, "conversations[].tool_calls": _CALL, "messages[].tool_calls": _CALL, "tools": frozenset({"type", "function", "name"})},
+    frozenset({"conversations[].tool_calls[].function", "messages[].tool_calls[].function", "tools[].function"}),
+)
+
+Triple = tuple[str, tuple[int, ...], object]
+_SPACE, _SCALAR = re.compile(r"[ \t\n\r]*"), re.compile(r"null|true|false|NaN|-?Infinity|-?(?:0|[1-9]\d*)(\.\d+)?([eE][-+]?\d+)?")
+_CONSTANTS = {"null": None, "true": True, "false": False, "NaN": math.nan, "Infinity": math.inf, "-Infinity": -math.inf}
+DEPTH = 8  # how often a value may be encoded again as text
+
+
+class Whole:
+    """The value of a triple of an object or a list itself: where it stands in its text."""
+
+    __slots__ = ("text", "start", "end")
+
+    def __init__(self, text: str, start: int, end: int) -> None:
+        self.text, self.start, self.end = text, start, end
+
+
+class Scanner:
+    """Reads one JSON text from left to right and emits (path, ordinals, value) of every leaf, object and list to
+    ``out``. An entry of a list of records also gives a triple for itself (value: whether it is an object), so that
+    entries without leaves keep their place. Raises ValueError at text that is no JSON."""
+
+    def __init__(self, text: str, layout: Layout, out: list[Triple], depth: int = DEPTH) -> None:
+        self.text, self.layout, self.out, self.depth = text, layout, out, depth
+
+    def _skip(self, i: int) -> int:
+        return _SPACE.match(self.text, i).end()
+
+    def whole(self, path: str, ordinals: tuple[int, ...]) -> str:
+        """Scans the text as one value; gives its first character."""
+        i = self._skip(0)
+        if self._skip(self.value(i, path, ordinals)) != len(self.text):
+            raise ValueError("text behind the value")
+        return self.text[i]
+
+    def value(self, i: int, path: str, ordinals: tuple[int, ...]) -> int:
+        """Scans the value at ``i``; gives the place behind it."""
+        if path in self.layout.lists:
+            return self.records(i, path, ordinals)
+        c = self.text[i : i + 1]
+        if c == "{":
+            end, _ = self.object(i, path, ordinals)
+            self.out.append((path, ordinals, Whole(self.text, i, end)))
+            return end
+        if c == "[":
+            end = self.elements(i, lambda j, n: self.value(j, path + "[]", (*ordinals, n)))
+            self.out.append((path, ordinals, Whole(self.text, i, end)))
+            return end
+        value, end = self.scalar(i)
+        if isinstance(value, str) and path in self.layout.objects and self.inner(value, path, ordinals, "{") is not None:
+            return end
+        self.out.append((path, ordinals, value))
+        return end
+
+    def scalar(self, i: int) -> tuple[object, int]:
+        if self.text[i : i + 1] == '"':
+            return scanstring(self.text, i + 1)
+        m = _SCALAR.match(self.text, i)
+        if not m:
+            raise ValueError("no value")
+        word = m[0]
+        return (_CONSTANTS[word] if word in _CONSTANTS else float(word) if m[1] or m[2] else int(word)), m.end()
+
+    def object(self, i: int, path: str, ordinals: tuple[int, ...]) -> tuple[int, dict[str, tuple[int, str]]]:
+        """Scans an object; gives the place behind it and where each key's value begins, with its first character. Of
+        a key given twice the last value counts."""
+        found: dict[str, tuple[int, str]] = {}
+        i = self._skip(i + 1)
+        if self.text[i : i + 1] == "}":
+            return i + 1, found
+        while True:
+            if self.text[i : i + 1] != '"':
+                raise ValueError("no key")
+            key, i = scanstring(self.text, i + 1)
+            i = self._skip(i)
+            if self.text[i : i + 1] != ":":
+                raise ValueError("no colon")
+            i = self._skip(i + 1)
+            below = f"{path}.{key}" if path else key
+            if key in found:
+                self.out[:] = [t for t in self.out if not (t[1][: len(ordinals)] == ordinals and (t[0] == below or t[0].startswith((below + ".", below + "[]"))))]
+            found[key] = (i, self.text[i : i + 1])
+            i = self._skip(self.value(i, below, ordinals))
+            if self.text[i : i + 1] == "}":
+                return i + 1, found
+            if self.text[i : i + 1] != ",":
+                raise ValueError("no comma")
+            i = self._skip(i + 1)
+
+    def elements(self, i: int, each: Callable[[int, int], int]) -> int:
+        """Scans a list, ``each`` element (place, number) by the caller; gives the place behind it."""
+        i, n = self._skip(i + 1), 0
+        if self.text[i : i + 1] == "]":
+            return i + 1
+        while True:
+            i = self._skip(each(i, n))
+            n += 1
+            if self.text[i : i + 1] == "]":
+                return i + 1
+            if self.text[i : i + 1] != ",":
+                raise ValueError("no comma")
+            i = self._skip(i + 1)
+
+    def records(self, i: int, path: str, ordinals: tuple[int, ...]) -> int:
+        """Scans a list of records in any wrapping as one plain list."""
+        count = itertools.count()
+        start, mark = i, len(self.out)
+        if self.text[i : i + 1] == "{":
+            end, found = self.object(i, path, ordinals)
+            if not self.layout.lists[path].isdisjoint(found):  # a lone record: its triples belong to entry 0
+                at = len(ordinals)
+                self.out[mark:] = [(path + "[]" + p[len(path) :], (*o[:at], 0, *o[at:]), v) for p, o, v in self._again(start, path, ordinals, mark)]
+                self.out.append((path + "[]", (*ordinals, 0), True))
+            else:
+                del self.out[mark:]
+                if found and all(c in "{[" for _, c in found.values()):
+                    for j, _ in found.values():
+                        self.record(j, path, ordinals, count)
+        elif self.text[i : i + 1] == "[":
+            end = self.elements(i, lambda j, n: self.record(j, path, ordinals, count))
+        else:
+            value, end = self.scalar(i)
+            if isinstance(value, str):
+                self.inner(value, path, ordinals, "{[")
+            self.out.append((path, ordinals, value))
+            return end
+        self.out.append((path, ordinals, Whole(self.text, start, end)))
+        return end
+
+    def _again(self, start: int, path: str, ordinals: tuple[int, ...], mark: int) -> list[Triple]:
+        """The triples of a lone record, scanned with the paths of an entry where its own lists are declared by them."""
+        deeper = [p for p in (*self.layout.lists, *self.layout.objects) if p.startswith(path + "[]")]
+        if not deeper:
+            return self.out[mark:]
+        cut = len(path) + 2
+        inner = Layout({path + p[cut:]: k for p, k in self.layout.lists.items() if p.startswith(path + "[]")}, frozenset(path + p[cut:] for p in self.layout.objects if p.startswith(path + "[]")))
+        out: list[Triple] = []
+        Scanner(self.text, inner, out, self.depth).object(start, path, ordinals)
+        return out
+
+    def record(self, i: int, path: str, ordinals: tuple[int, ...], count: Iterator[int]) -> int:
+        """Scans one element of a list of records: a record, a list of records, either as text, or something else."""
+        c = self.text[i : i + 1]
+        if c == "[":
+            return self.elements(i, lambda j, n: self.record(j, path, ordinals, count))
+        if c == "{":
+            here = (*ordinals, next(count))
+            self.out.append((path + "[]", here, True))
+            return self.object(i, path + "[]", here)[0]
+        value, end = self.scalar(i)
+        if isinstance(value, str) and value.lstrip()[:1] in ("{", "[") and self.depth:
+            out: list[Triple] = []
+            inner = Scanner(value, self.layout, out, self.depth - 1)
+            taken = copy.copy(count)
+            try:
+                j = inner._skip(inner.record(inner._skip(0), path, ordinals, taken))
+                if j != len(value):
+                    raise ValueError("text behind the value")
+            except (ValueError, RecursionError):
+                pass
+            else:
+                for _ in range(next(taken) - next(copy.copy(count))):
+                    next(count)
+                self.out += out
+                return end
+        self.out.append((path + "[]", (*ordinals, next(count)), False))
+        return end
+
+    def inner(self, value: str, path: str, ordinals: tuple[int, ...], wanted: str) -> str | None:
+        """Scans a text that was encoded again; gives its first character, or null (and no triples) if it isn't what is
+        ``wanted`` or can't be parsed whole."""
+        depth = self.depth
+        while depth:
+            depth -= 1
+            out: list[Triple] = []
+            try:
+                text = value
+                first = text.lstrip(" \t\n\r")[:1]
+                if first == '"':
+                    value = json.loads(text)
+                    continue
+                if not first or first not in wanted:
+                    return None
+                Scanner(text, self.layout, out, depth).whole(path, ordinals)
+            except (ValueError, RecursionError):
+                return None
+            self.out += out
+            return first
+        return None
+
+
+def triples(text: str, layout: Layout = CONVERSATION) -> list[Triple] | None:
+    """(path, ordinals, value) of everything in one JSON record, which may be encoded again as text or be the only
+    element of a list; null if it can't be parsed whole or is no object."""
+    for _ in range(DEPTH + 1):
+        out: list[Triple] = []
+        scanner = Scanner(text, layout, out)
         try:
-            value = json.loads(value)
+            i = scanner._skip(0)
+            first = text[i : i + 1]
+            if first == '"':
+                value, end = scanstring(text, i + 1)
+                if scanner._skip(end) != len(text):
+                    return None
+                text = value
+                continue
+            if first == "[":  # a list of one record
+                ends: list[int] = []
+                end = scanner.elements(i, lambda j, n: (ends.append(j), Scanner(text, layout, []).value(j, "", ()))[1])
+                if scanner._skip(end) != len(text) or len(ends) != 1 or text[ends[0]] != "{":
+                    return None
+                scanner.object(ends[0], "", ())
+                return out
+            if first != "{" or scanner._skip(scanner.object(i, "", ())[0]) != len(text):
+                return None
+            return out
         except (ValueError, RecursionError):
-            return _MISSING
-        depth -= 1
-    return value
-
-
-def plain_list(value, known: tuple[str, ...]) -> list:
-    """Any wrapping of a list as one plain list: text, a lone object, an object of entries, lists in lists."""
-    value = decode(value)
-    if value is _MISSING or value is None:
-        return []
-    if isinstance(value, dict):
-        if any(k in value for k in known):
-            return [value]
-        inner = list(value.values())
-        return plain_list(inner, known) if inner and all(isinstance(x, (dict, list)) for x in inner) else []
-    if not isinstance(value, list):
-        return []
-    out: list = []
-    for x in value:
-        if isinstance(x, list):
-            out += plain_list(x, known)
-        elif isinstance(x, str) and x.lstrip()[:1] in ("{", "["):
-            y = decode(x)
-            out += [None] if y is _MISSING else [y] if isinstance(y, dict) else plain_list(y, known)
-        else:
-            out.append(x)
-    return out
+            return None
+    return None
 
 
-def text_of(value) -> str | None:
-    if value is None or isinstance(value, str):
-        return value
-    return json.dumps(value, ensure_ascii=False)
-
-
-def triples(record: dict) -> Iterator[tuple[str, tuple[int, ...], object]]:
-    """(path, ordinals, value) of the leaves of one parsed record; a path names its repeated ancestors with ``[]``.
-
-    An entry of a repeated ancestor also gives a triple for itself (value: whether it is an object), so that entries
-    without leaves keep their place.
-    """
-    record_id = record.get("id")
-    yield "id", (), None if record_id is None or record_id == "" else record_id if isinstance(record_id, str) else text_of(record_id)
-    for key in ("source", "status"):
-        if key in record:
-            yield key, (), record[key]
-    raw = record.get("conversations")
-    for m, message in enumerate(plain_list(record.get("messages") if raw is None else raw, ("role", "from", "content", "value"))):
-        yield "messages[]", (m,), isinstance(message, dict)
-        if not isinstance(message, dict):
-            continue
-        for name, other in (("role", "from"), ("content", "value"), ("reasoning_content", None), ("name", None), ("tool_call_id", None)):
-            value = message.get(name)
-            yield f"messages[].{name}", (m,), message.get(other) if value is None and other else value
-        for c, call in enumerate(plain_list(message.get("tool_calls"), ("id", "type", "function"))):
-            yield "messages[].tool_calls[]", (m, c), isinstance(call, dict)
-            if isinstance(call, dict):
-                yield "messages[].tool_calls[].id", (m, c), call.get("id")
-                yield "messages[].tool_calls[].type", (m, c), call.get("type")
-                f = decode(call.get("function"))
-                if isinstance(f, dict):
-                    yield "messages[].tool_calls[].name", (m, c), f.get("name")
-                    yield "messages[].tool_calls[].arguments", (m, c), f.get("arguments")
-    for t, tool in enumerate(plain_list(record.get("tools"), ("type", "function", "name"))):
-        yield "tools[]", (t,), isinstance(tool, dict)
-        if isinstance(tool, dict):
-            yield "tools[].type", (t,), tool.get("type")
-            f = decode(tool.get("function")) if "function" in tool else tool
-            if isinstance(f, dict):
-                for name in ("name", "description", "parameters"):
-                    yield f"tools[].{name}", (t,), f.get(name)
-
-
-def pivot(found: Iterator[tuple[str, tuple[int, ...], object]]) -> dict[str, dict[tuple[int, ...], dict[str, object]]]:
+def pivot(found: Iterable[Triple]) -> dict[str, dict[tuple[int, ...], dict[str, object]]]:
     """Triples by repeated ancestor and ordinals: ``{ancestor: {ordinals: {leaf: value}}}``, root under ''."""
     groups: dict[str, dict[tuple[int, ...], dict[str, object]]] = {}
     for path, ordinals, value in found:
@@ -194,37 +357,52 @@ def pivot(found: Iterator[tuple[str, tuple[int, ...], object]]) -> dict[str, dic
     return groups
 
 
+def text_of(value) -> str | None:
+    """A leaf as text: strings as they are, other values as JSON."""
+    if value is None or isinstance(value, str):
+        return value
+    if isinstance(value, Whole):
+        value = json.loads(value.text[value.start : value.end])
+    return json.dumps(value, ensure_ascii=False)
+
+
+def either(row: dict[str, object], name: str, other: str) -> object:
+    value = row.get(name)
+    return row.get(other) if value is None else value
+
+
 RAW_SCHEMA = "kind string, rec_id string, msg_pos int, item_pos int, item_key string, type string, function_name string, tool_pos int, role string, content string, reasoning_content string, name string, tool_call_id string, payload string, description string"
 _RAW = pa.schema([(n, pa.int32() if n in ("msg_pos", "item_pos", "tool_pos") else pa.string()) for n in (x.split()[0] for x in RAW_SCHEMA.split(", "))])
 
 
 def raw_rows(shard: str | None, line_no: int | None, line: str | None, texts: bool) -> Iterator[tuple]:
     """Rows of all four tables for one line; ``texts``: also those of records and messages, with their texts."""
-    record = decode(line) if line else _MISSING
-    if isinstance(record, list) and len(record) == 1:
-        record = record[0]
-    if not isinstance(record, dict):
+    found = triples(line) if line else None
+    if found is None:
         return
-    groups = pivot(triples(record))
-    rec = groups[""][()]["id"]
-    rec = f"{shard}:{line_no}" if rec is None else rec
-    tools, messages = groups.get("tools[]", {}), groups.get("messages[]", {})
+    groups = pivot(found)
+    root = groups.get("", {}).get((), {})
+    rec = root.get("id")
+    rec = f"{shard}:{line_no}" if rec is None or rec == "" else text_of(rec)
+    messages = "conversations[]" if root.get("conversations") is not None else "messages[]"
     if texts:
         yield ("record", rec, -1, -1, None, None, None, None, None, None, None, None, None, None, None)
-        for (m,), r in messages.items():
+        for (m,), r in sorted(groups.get(messages, {}).items()):
             if r[""]:
-                yield ("message", rec, m, -1, None, None, None, None, *(text_of(r.get(k)) for k in ("role", "content", "reasoning_content", "name", "tool_call_id")), None, None)
+                said = (either(r, "role", "from"), either(r, "content", "value"), *(r.get(k) for k in ("reasoning_content", "name", "tool_call_id")))
+                yield ("message", rec, m, -1, None, None, None, None, *map(text_of, said), None, None)
     first: dict[str, int] = {}
-    for (t,), r in tools.items():
+    for (t,), r in sorted(groups.get("tools[]", {}).items()):
         if r[""]:
-            name = text_of(r.get("name")) or ""
+            leaf = (lambda k: r.get(f"function.{k}")) if "function" in r or "function.name" in r else r.get  # noqa: B023
+            name = text_of(leaf("name")) or ""
             if name:
                 first.setdefault(name, t)
-            yield ("tool", rec, -1, t, name, text_of(r.get("type")), name, t, None, None, None, None, None, text_of(r.get("parameters")) if texts else None, text_of(r.get("description")) if texts else None)
-    for (m, c), r in groups.get("messages[].tool_calls[]", {}).items():
+            yield ("tool", rec, -1, t, name, text_of(r.get("type")), name, t, None, None, None, None, None, text_of(leaf("parameters")) if texts else None, text_of(leaf("description")) if texts else None)
+    for (m, c), r in sorted(groups.get(f"{messages}.tool_calls[]", {}).items()):
         if r[""]:
-            name = text_of(r.get("name"))
-            yield ("call", rec, m, c, text_of(r.get("id")) or "", text_of(r.get("type")), name, first.get(name, -1) if name else -1, None, None, None, None, None, text_of(r.get("arguments")) if texts else None, None)
+            name = text_of(r.get("function.name"))
+            yield ("call", rec, m, c, text_of(r.get("id")) or "", text_of(r.get("type")), name, first.get(name, -1) if name else -1, None, None, None, None, None, text_of(r.get("function.arguments")) if texts else None, None)
 
 
 def raw_tables(lines: DataFrame, *, texts: bool = True) -> DataFrame:
@@ -244,13 +422,23 @@ def raw_tables(lines: DataFrame, *, texts: bool = True) -> DataFrame:
 KEY = ["rec_id", "kind", "msg_pos", "item_pos"]
 
 
-def items(conversations: DataFrame, lines: DataFrame) -> DataFrame:
-    """(rec_id, kind, msg_pos, item_pos, item_key, tool_pos): calls and declared tools of both tables, each once."""
-    out = ["rec_id", "kind", "msg_pos", "item_pos", "item_key", "tool_pos"]
-    calls = typed_calls(conversations).withColumn("kind", F.lit("call")).select(out)
+_ITEM = ["rec_id", "kind", "msg_pos", "item_pos", "item_key", "tool_pos"]
+
+
+def _typed_items(conversations: DataFrame) -> DataFrame:
+    calls = typed_calls(conversations).withColumn("kind", F.lit("call")).select(_ITEM)
     tools = typed_tools(conversations).select("rec_id", F.lit("tool").alias("kind"), F.lit(-1).alias("msg_pos"), "item_pos", "item_key", F.col("item_pos").alias("tool_pos"))
-    raw = raw_tables(lines, texts=False).select(out)
-    return calls.unionByName(tools).unionByName(raw).dropDuplicates(KEY)
+    return calls.unionByName(tools)
+
+
+def typed_items(conversations: DataFrame) -> DataFrame:
+    """(rec_id, kind, msg_pos, item_pos, item_key, tool_pos): calls and declared tools of typed rows, each once."""
+    return _typed_items(conversations).dropDuplicates(KEY)
+
+
+def items(conversations: DataFrame, lines: DataFrame) -> DataFrame:
+    """As ``typed_items``, of typed rows and raw lines together."""
+    return _typed_items(conversations).unionByName(raw_tables(lines, texts=False).select(_ITEM)).dropDuplicates(KEY)
 
 
 def flat_tables(conversations: DataFrame, lines: DataFrame) -> dict[str, DataFrame]:

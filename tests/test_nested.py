@@ -67,3 +67,40 @@ def test_generic_shredding_keeps_links(spark, conversations):
 
 def test_empty_tables(spark, conversations):
     assert nested.items(conversations([]), spark.createDataFrame([], LINES)).count() == 0
+
+
+def test_triples_of_any_record():
+    """The scanner knows no key: paths, ordinals and values of a record in no layout at all."""
+    found = nested.triples('{"a": {"b": [1, {"c": null}, [2.5]], "b": [true, {"c": "x"}]}, "e": {}, "f": []}', nested.Layout({}))
+    leaves = [(p, o, v) for p, o, v in found if not isinstance(v, nested.Whole)]
+    assert leaves == [("a.b[]", (0,), True), ("a.b[]", (1,), True), ("a.b[].c", (1,), "x")]
+    assert [(p, nested.text_of(v)) for p, o, v in found if isinstance(v, nested.Whole) and not o] == [("a.b", '[true, {"c": "x"}]'), ("a", '{"b": [true, {"c": "x"}]}'), ("e", "{}"), ("f", "[]")]
+    for broken in ("", "{", "[1]", '{"a": 1,}', '{"a" 1}', '{"a": tru}', '{"a": 1} x', '"{"', "{" * 5000, '{"a": "\x01"}'):
+        assert nested.triples(broken, nested.Layout({})) is None
+    groups = nested.pivot(nested.triples('{"x": [{"y": [{"z": 1}, {"z": 2}]}, {"y": []}]}', nested.Layout({})))
+    assert {k: v["z"] for k, v in groups["x[].y[]"].items()} == {(0, 0): 1, (0, 1): 2} and list(groups["x[]"]) == [(0,), (1,)]
+
+
+def test_scanner_reads_what_the_parser_reads():
+    import random
+
+    rng = random.Random(5)
+
+    def value(depth):
+        kind = rng.randrange(8)
+        if depth == 0 or kind < 4:
+            return rng.choice([None, True, -3, 2.5e-7, "", "é\n\"x", "{", 10**30])
+        return [value(depth - 1) for _ in range(rng.randrange(4))] if kind < 6 else {rng.choice("abcd"): value(depth - 1) for _ in range(rng.randrange(4))}
+
+    def leaves(v, path=""):
+        if isinstance(v, dict):
+            return [x for k, y in v.items() for x in leaves(y, f"{path}.{k}" if path else k)]
+        return [x for y in v for x in leaves(y, path + "[]")] if isinstance(v, list) else [(path, v)]
+
+    for _ in range(300):
+        record = {"r": value(4), "s": value(3)}
+        text = json.dumps(record, indent=rng.choice([None, 2]))
+        got = [(p, v) for p, _, v in nested.triples(text, nested.Layout({})) if not isinstance(v, nested.Whole)]
+        assert list(map(repr, leaves(record))) == list(map(repr, got))
+        cut = text[: rng.randrange(len(text))]
+        assert nested.triples(cut, nested.Layout({})) is None
