@@ -270,6 +270,14 @@ def grouped_accuracy(df: DataFrame, group: str, hit: str) -> DataFrame:
     return g.unionByName(all_).unionByName(macro).select(F.col("grp").alias(group), "n", "hits", F.round("accuracy", 6).alias("accuracy"))
 
 
+def share_of_run(df: DataFrame, group: str, hit: str, seconds: float) -> DataFrame:
+    """(group, n, hits, accuracy, answers_per_second, share): accuracy by group ('' for null), with the answers a second
+    over the latency of the whole run and the group's share of all answers."""
+    total = df.agg(F.count("*").alias("_all"))
+    g = df.groupBy(F.coalesce(F.col(group), F.lit("")).alias(group)).agg(F.count("*").alias("n"), F.sum(F.col(hit).cast("long")).alias("hits"))
+    return g.crossJoin(F.broadcast(total)).select(group, "n", "hits", F.round(F.col("hits") / F.col("n"), 6).alias("accuracy"), F.round(F.col("n") / F.lit(seconds), 6).alias("answers_per_second"), F.round(F.col("n") / F.col("_all"), 6).alias("share"))
+
+
 def average_and_worst(df: DataFrame, question: str, hit: str) -> DataFrame:
     """(questions, average, worst): means over questions of the mean and of the least hit of their variants."""
     q = df.groupBy(question).agg(F.avg(F.col(hit).cast("double")).alias("m"), F.min(F.col(hit).cast("double")).alias("w"))
