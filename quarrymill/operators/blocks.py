@@ -114,3 +114,16 @@ def correlations(blocks: DataFrame) -> DataFrame:
     r = s.agg(M.pearson("kl", "hit").alias("kh"), M.pearson("kl", "slot").alias("ks"), M.pearson("slot", "hit").alias("sh"), M.pearson("kl", "entropy").alias("ke"), M.pearson("entropy", "hit").alias("eh"), F.count("*").alias("n"))
     part = lambda xy, xz, yz: F.round((F.col(xy) - F.col(xz) * F.col(yz)) / F.sqrt((1 - F.col(xz) ** 2) * (1 - F.col(yz) ** 2)), 6)
     return r.select("n", F.round("kh", 6).alias("kl_hit"), part("kh", "ks", "sh").alias("kl_hit_at_slot"), part("kh", "ke", "eh").alias("kl_hit_at_entropy"))
+
+
+def accept_by_block(blocks: DataFrame, least: int = 8) -> DataFrame:
+    """(measure, quartile, n, mean): accepted length by quartile of a block's own mean kl, kl of its first slot and mean
+    entropy; a measure that fewer than ``least`` blocks have is left out. Each measure's cuts are one row."""
+    mean = lambda c: F.aggregate(F.filter(c, lambda x: M.finite(x).isNotNull()), F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n")), lambda s, x: F.struct((s.s + x).alias("s"), (s.n + 1).alias("n")), lambda s: F.try_divide(s.s, s.n))
+    b = blocks.select(accepted_length(F.col("correct")).alias("a"), F.round(mean("kl"), 9).alias("kl"), M.finite(F.get("kl", F.lit(1))).alias("kl_first"), F.round(mean("entropy"), 9).alias("entropy"))
+    out = None
+    for measure in ("kl", "kl_first", "entropy"):
+        cuts = M.value_at(b, measure, CUTS).where(F.col("n") >= least).drop("n")
+        part = b.where(F.col(measure).isNotNull()).crossJoin(F.broadcast(cuts)).groupBy(quartile(F.col(measure)).alias("quartile")).agg(F.count("*").alias("n"), F.round(F.avg("a"), 6).alias("mean")).select(F.lit(measure).alias("measure"), "quartile", "n", "mean")
+        out = part if out is None else out.unionByName(part)
+    return out

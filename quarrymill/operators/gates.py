@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarrymill.functions import text as X
-from quarrymill.operators import tokens as T
+from quarrymill.operators import tokens as TK
 
 
 def sequence_error(values: Column, mask: Column) -> Column:
@@ -34,7 +35,7 @@ def single_turn(df: DataFrame, reasoning: str = "allow") -> DataFrame:
 
 def first_qualifying(df: DataFrame, order: str, *, least: int, longest: int | None = None) -> DataFrame:
     """The first row in ``order`` with at least ``least`` trained tokens (and not longer than ``longest``)."""
-    ok = T.trainable(F.col("mask")) >= least
+    ok = TK.trainable(F.col("mask")) >= least
     if longest is not None:
         ok = ok & (F.size("tokens") <= longest)
     return df.where(ok).orderBy(order).limit(1)
@@ -55,11 +56,25 @@ def wants_short_answer(content: Column) -> Column:
 
 def of_family(df: DataFrame, family: DataFrame, names: list[str]) -> DataFrame:
     """Rows whose id's configuration, or whose folded source, belongs to one of the named families; ``family(handle,
-    family)`` is a small dimension."""
+    family)`` is a small dimension. Handles are resolved against the sources that occur, not against every row."""
     dim = family.where(F.col("family").isin(names)).select(X.fold_handle(F.col("handle")).alias("_h")).distinct()
-    by_id = X.fold_handle(X.config_base(X.id_config(F.col("id"))))
-    keyed = df.withColumn("_i", by_id).withColumn("_s", X.fold_handle(F.col("source")))
-    return keyed.join(F.broadcast(dim), (F.col("_i") == F.col("_h")) | F.coalesce(F.contains(F.col("_s"), F.col("_h")), F.lit(False)), "left_semi").drop("_i", "_s")
+    keyed = df.withColumn("_i", X.fold_handle(X.config_base(X.id_config(F.col("id"))))).withColumn("_s", X.fold_handle(F.col("source")))
+    sources = keyed.select("_s").where("_s IS NOT NULL").distinct()
+    wanted = sources.join(F.broadcast(dim), F.contains(F.col("_s"), F.col("_h")), "left_semi").select(F.col("_s").alias("_k"))
+    by_id = keyed.join(F.broadcast(dim), F.col("_i") == F.col("_h"), "left_semi")
+    rest = keyed.join(F.broadcast(dim), F.col("_i") == F.col("_h"), "left_anti").join(F.broadcast(wanted), F.col("_s") == F.col("_k"), "left_semi")
+    return by_id.unionByName(rest).drop("_i", "_s")
+
+
+def tensor_columns(schema: T.DataType, path: str = "") -> list[str]:
+    """Paths of a schema's values that aren't plain data (raw bytes and user types): rows of metadata must have none."""
+    if isinstance(schema, T.StructType):
+        return [x for f in schema.fields for x in tensor_columns(f.dataType, f"{path}.{f.name}" if path else f.name)]
+    if isinstance(schema, T.ArrayType):
+        return tensor_columns(schema.elementType, path + "[]")
+    if isinstance(schema, T.MapType):
+        return tensor_columns(schema.keyType, path + ".key") + tensor_columns(schema.valueType, path + ".value")
+    return [path] if isinstance(schema, (T.BinaryType, T.UserDefinedType)) else []
 
 
 def threshold_errors(df: DataFrame, least: dict[str, float], most: dict[str, float]) -> DataFrame:
@@ -73,7 +88,7 @@ def serving_errors(df: DataFrame, block: int) -> DataFrame:
     """(…, errors ARRAY): acceptance and matching prefix below the block size, reasoning left in a history."""
     history = F.exists("history", lambda m: (m.role == "assistant") & ~X.is_blank(m.reasoning_content))
     found = F.array(
-        F.when(F.coalesce(F.col("accept_length") < block, F.lit(True)), "acceptance below the block"), F.when(T.common_prefix(F.col("expected"), F.col("got")) < F.least(F.lit(block), F.size("expected")), "prefix differs"), F.when(F.coalesce(history, F.lit(False)), "reasoning in history"),
+        F.when(F.coalesce(F.col("accept_length") < block, F.lit(True)), "acceptance below the block"), F.when(TK.common_prefix(F.col("expected"), F.col("got")) < F.least(F.lit(block), F.size("expected")), "prefix differs"), F.when(F.coalesce(history, F.lit(False)), "reasoning in history"),
     )
     return df.withColumn("errors", F.filter(found, lambda e: e.isNotNull()))
 
@@ -117,6 +132,21 @@ def top_overlap(a: Column, b: Column, k: int) -> Column:
     return F.size(F.array_intersect(top(a), top(b))) / F.lit(float(k))
 
 
+def in_flight(published: DataFrame, consumed: DataFrame, group: str) -> DataFrame:
+    """(group, published, consumed, in_flight): what a channel holds that its reader hasn't counted yet."""
+    p = published.groupBy(group).agg(F.count("*").alias("published"))
+    c = consumed.groupBy(group).agg(F.count("*").alias("consumed"))
+    return p.join(c, group, "left").select(group, "published", F.coalesce("consumed", F.lit(0)).alias("consumed"), (F.col("published") - F.coalesce("consumed", F.lit(0))).alias("in_flight"))
+
+
+def prefix_errors(leased: DataFrame, acked: DataFrame, group: str, order: str, key: str) -> DataFrame:
+    """(group, leased, acked, error): acknowledgements of a group must be those of its first leases in order; the error
+    is the first place at which one is missing before the last that is acknowledged."""
+    j = leased.join(acked.select(key).distinct().withColumn("_a", F.lit(1)), key, "left")
+    g = j.groupBy(group).agg(F.count("*").alias("leased"), F.coalesce(F.sum("_a"), F.lit(0)).alias("acked"), F.max(F.when(F.col("_a") == 1, F.col(order))).alias("_last"), F.min(F.when(F.col("_a").isNull(), F.col(order))).alias("_gap"))
+    return g.select(group, "leased", "acked", F.when(F.col("_gap") < F.col("_last"), F.concat(F.lit("not a prefix: "), F.col("_gap").cast("string"))).alias("error"))
+
+
 def lease_outcomes(events: DataFrame, most: int) -> DataFrame:
     """(task_id, attempts, outcome) of a log (task_id, at, kind: leased, done, failed): ``done`` once done,
     ``exhausted`` after ``most`` failed attempts, else ``pending``."""
@@ -153,3 +183,11 @@ def seeded_choice(df: DataFrame, key: str, item: str, n: int, seed: int) -> Data
 
     r = df.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(ticket(seed, key, item), item)))
     return r.where(F.col("_r") <= n).drop("_r")
+
+
+def batch_slice(position: Column, size: int, rank: int, ranks: int) -> Column:
+    """Whether a position within a batch is in a rank's contiguous slice. The ranks must divide the batch."""
+    if size % ranks:
+        raise ValueError(f"{ranks} ranks don't divide a batch of {size}")
+    part = size // ranks
+    return F.floor(position % size / F.lit(part)) == rank

@@ -200,6 +200,16 @@ def decile_profile(df: DataFrame, key: str, series: str, parts: int = 10) -> Dat
     return each.groupBy("decile").agg(F.round(F.avg("m"), 6).alias("mean"), F.count("*").alias("n_series"))
 
 
+def pooled_series(df: DataFrame, series: str, percents: tuple[int, ...] = (10, 25, 50, 75, 90, 99)) -> DataFrame:
+    """One row: rows with values, values, mean, deviation, percentiles and shares below 0.1 and above 1.0 of the values of
+    all rows together. Percentiles come from ranks over value counts: no task holds all values."""
+    each = df.select(F.filter(series, lambda x: finite(x).isNotNull()).alias("v")).where(F.size("v") > 0)
+    pooled = each.select(F.explode("v").alias("x"))
+    s = pooled.agg(F.count("*").alias("n_values"), F.round(F.avg("x"), 6).alias("mean"), F.round(F.stddev_pop("x"), 6).alias("std"), F.round(F.avg((F.col("x") < 0.1).cast("double")), 6).alias("below"), F.round(F.avg((F.col("x") > 1.0).cast("double")), 6).alias("above"))
+    q = quantile_edges(pooled, "x", 101).agg(*[F.round(F.max(F.when(F.col("k") == p, F.col("edge"))), 6).alias(f"p{p}") for p in percents])
+    return each.agg(F.count("*").alias("n_rows")).crossJoin(s).crossJoin(q)
+
+
 # --- correlation and tables of ranks -----------------------------------------------------------------------------------
 
 
@@ -290,6 +300,11 @@ def position_metrics(df: DataFrame, corrects: str, denominators: str, losses: st
     return z.groupBy("pos").agg(F.round(F.sum("z.c") / F.greatest(F.sum("z.d"), F.lit(1e-6)), 6).alias("accuracy"), F.round(F.sum(F.col("z.l") * F.col("z.d")) / F.greatest(F.sum("z.d"), F.lit(1e-6)), 6).alias("loss"))
 
 
+def ratio_metrics(df: DataFrame, pairs: dict[str, tuple[str, str]], means: list[str], tiny: float = 1e-12) -> DataFrame:
+    """One row: each name's sum over its denominator's sum (at least ``tiny``), and means of plain scalars over ranks."""
+    return df.agg(*[F.round(F.sum(a) / F.greatest(F.sum(b), F.lit(tiny)), 6).alias(n) for n, (a, b) in pairs.items()], *[F.round(F.avg(m), 6).alias(f"mean_{m}") for m in means])
+
+
 def simulated_acceptance(accuracies: Column) -> Column:
     """a0 + a0 a1 + a0 a1 a2 + ...: the accepted length that per-position accuracies imply."""
     s = F.aggregate(accuracies, F.struct(F.lit(1.0).alias("p"), F.lit(0.0).alias("t")), lambda s, a: F.struct((s.p * a).alias("p"), (s.t + s.p * a).alias("t")))

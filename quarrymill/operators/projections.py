@@ -7,7 +7,9 @@ counted in ``skipped``. All shapes are kept per row: no shuffle but where a row
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -251,3 +253,101 @@ def common_root(df: DataFrame, path: str) -> DataFrame:
 def rebased(path: Column, old: str, new: str) -> Column:
     """A path below ``old`` moved below ``new``; null if it isn't below ``old``."""
     return F.when(path.startswith(old.rstrip("/") + "/"), F.concat(F.lit(new.rstrip("/")), F.substring(path, len(old.rstrip("/")) + 1, 1 << 30)))
+
+
+# --- named sources -----------------------------------------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Source:
+    """How a public instruction set is read: its projection, columns to rename, configurations to concatenate, and
+    whether rows are numbered (in the order of a key) because they have no id."""
+
+    projection: str
+    rename: dict[str, str] = field(default_factory=dict)
+    configs: tuple[str, ...] = ()
+    numbered: bool = False
+
+
+#: Names of public instruction sets and of their configurations. Fixed values.
+SOURCES = {
+    "ultrachat": Source("chat", {"prompt_id": "id", "messages": "conversations"}), "sharegpt": Source("sharegpt"), "eaglechat": Source("identity"), "perfectblend": Source("blended", numbered=True),
+    "perfectblend-llama3.1-8b-instruct": Source("identity", numbered=True), "perfectblend-llama3.3-70b-instruct": Source("identity", numbered=True), "perfectblend-llama4-scout-instruct": Source("identity", numbered=True), "perfectblend-llama4-maverick-instruct": Source("identity", numbered=True),
+    "magpie-qwen2.5-pro-1m-v0.1": Source("sharegpt", {"uuid": "id"}), "opc": Source("instruction-output", configs=("largescale_diverse_instruct", "filtered_infinity_instruct", "realuser_instruct")), "gsm8k": Source("question-answer", configs=("main",)),
+    "hendrycks_math": Source("problem-solution", configs=("algebra", "counting_and_probability", "geometry", "intermediate_algebra", "number_theory", "prealgebra", "precalculus")), "math_qa": Source("problem-options"), "codealpaca-20k": Source("instruction-output"), "opencodeinstruct": Source("input-output"),
+    "magicoder-evol-instruct": Source("instruction-response"), "sciq": Source("science-choice"), "camel": Source("message-pair", configs=("biology", "chemistry", "physics")), "nebius-llama31-8b-infinity-instruct": Source("first-user-generated", numbered=True),
+    "sharegpt4v": Source("pictured", configs=("ShareGPT4V",)), "sharegpt4v-pt": Source("pictured", configs=("ShareGPT4V-PT",)),
+}
+
+
+@preset("identity")
+def identity(df: DataFrame) -> DataFrame:
+    return df.withColumn("skipped", F.lit(0))
+
+
+def project_source(name: str, parts: list[DataFrame], order: tuple[str, ...] = ()) -> DataFrame:
+    """The rows of a named source, its configurations one after the other, as conversation rows. ``order``: a unique
+    key for sources whose rows are numbered. Unknown names fail and say what there is."""
+    if name not in SOURCES:
+        raise KeyError(f"unknown source {name!r}; known: {sorted(SOURCES)}")
+    s = SOURCES[name]
+    df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    df = df.withColumnsRenamed(s.rename)
+    return PRESETS[s.projection](add_index(df, *order) if s.numbered else df)
+
+
+def parse_source_specs(specs: list[str]) -> list[tuple[str, int | None]]:
+    """(handle, count) of ``name``, ``name=all`` and ``name=<count>``; null counts take every row. Malformed specs fail."""
+    out: list[tuple[str, int | None]] = []
+    for spec in specs:
+        name, mark, count = (x.strip() for x in spec.partition("="))
+        if not name:
+            raise ValueError(f"{spec!r} names no source")
+        if mark and count.lower() != "all":
+            if not re.fullmatch(r"[-+]?\d+", count):
+                raise ValueError(f"{spec!r}: the count must be an integer or 'all'")
+            if int(count) <= 0:
+                raise ValueError(f"{spec!r}: the count must be greater than zero")
+            out.append((name, int(count)))
+        else:
+            out.append((name, None))
+    return out
+
+
+def resolved_handles(handles: DataFrame, sources: DataFrame) -> DataFrame:
+    """(handle, source, error): the one source whose folded name holds each folded handle; an error where none or several
+    do. Both sides are names, not rows."""
+    names = sources.select("source").where("source IS NOT NULL").distinct()
+    hit = handles.select("handle").distinct().join(F.broadcast(names), F.contains(X.fold_handle(F.col("source")), X.fold_handle(F.col("handle"))), "left")
+    g = hit.groupBy("handle").agg(F.count("source").alias("n"), F.min("source").alias("source"))
+    return g.select("handle", F.when(F.col("n") == 1, F.col("source")).alias("source"), F.when(F.col("n") == 0, "matches none").when(F.col("n") > 1, F.concat(F.lit("ambiguous: matches "), F.col("n").cast("string"))).alias("error"))
+
+
+# --- channels and histories --------------------------------------------------------------------------------------------
+
+#: The system block of a channel prompt that has none. A fixed value.
+CHANNEL_SYSTEM = "You are ChatGPT, a large language model trained by OpenAI.\nKnowledge cutoff: 2024-06\nCurrent date: 2025-06-28\n\nReasoning: {level}\n\n# Valid channels: analysis, commentary, final. Channel must be included for every message."
+
+
+def render_channels(messages: Column, level: str = "low") -> Column:
+    """Messages of roles system, assistant_reasoning_effort, user, assistant_analysis, assistant_commentary and
+    assistant_final as one prompt with channels. A system message or an effort begins the prompt anew; without one
+    first, the default system block with ``level`` stands there. Other roles fail."""
+    head, tail = CHANNEL_SYSTEM.split("{level}")
+    block = lambda effort: F.concat(F.lit("<|start|>system<|message|>" + head), effort, F.lit(tail + "<|end|>"))
+    part = lambda start, content: F.concat(F.lit(start + "<|message|>"), content, F.lit("<|end|>"))
+
+    def step(s: Column, m: Column) -> Column:
+        text = F.coalesce(m.content, F.lit(""))
+        return (
+            F.when(m.role == "system", part("<|start|>system", text)).when(m.role == "assistant_reasoning_effort", block(F.lower(text))).when(m.role == "user", F.concat(s, part("<|start|>user", text)))
+            .when(m.role.isin("assistant_analysis", "assistant_commentary", "assistant_final"), F.concat(s, F.lit("<|start|>assistant<|channel|>"), F.substring_index(m.role, "_", -1), F.lit("<|message|>"), text, F.lit("<|end|>")))
+            .otherwise(F.raise_error(F.concat(F.lit("unknown role: "), F.coalesce(m.role, F.lit("null")))))
+        )
+
+    return F.aggregate(messages, block(F.lit(level)), step)
+
+
+def without_reasoning(messages: Column) -> Column:
+    """Messages as a chat payload: assistant messages without their reasoning."""
+    return F.transform(messages, lambda m: F.when(m.role == "assistant", m.withField("reasoning_content", F.lit(None).cast("string"))).otherwise(m))

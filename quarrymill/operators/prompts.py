@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -26,6 +28,28 @@ class Template:
         return render(messages, bos=self.bos, user=self.user, assistant=self.assistant, system=self.system, end=self.end)
 
 
+    def example(self, messages: list[tuple[str, str]]) -> str:
+        """The layout of a few (role, content) messages, made on the driver."""
+        heads = {"user": self.user, "assistant": self.assistant}
+        return self.bos + "".join(heads.get(r, self.system) + c + (self.end if r == "assistant" else "\n") for r, c in messages)
+
+    def control_texts(self, probe: str = "\u0001probe\u0001") -> tuple[str, str]:
+        """(header, end): what stands between a question and an answer, and behind an answer, read off two layouts."""
+        asked, full = self.example([("user", "x")]), self.example([("user", "x"), ("assistant", probe)])
+        before, _, behind = full.partition(probe)
+        header = before[len(os.path.commonprefix([asked, before])) :]
+        if not header:
+            raise ValueError("the template has no assistant header")
+        return header, behind
+
+    def assistant_pattern(self, kind: str = "general") -> str:
+        """A pattern whose first group is what an answer is trained on. ``kind``: ``general``, ``thinking`` (an empty
+        reasoning block isn't trained), ``rounds`` and ``channel`` (an answer ends where the next turn begins)."""
+        header, end = self.control_texts()
+        stop = {"rounds": r"\[Round \d+\] USER:", "channel": r"<\|start\|>user<\|message\|>"}.get(kind, re.escape(end.strip()))
+        return re.escape(header) + (r"(?:<think>\s*</think>)?" if kind == "thinking" else "") + (rf"([\s\S]*?)(?={stop}|$)" if kind == "channel" else rf"([\s\S]*?(?:{stop}|$))")
+
+
 TEMPLATES: dict[str, Template] = {"plain": Template(), "turns": Template("USER: ", "ASSISTANT: ", "", "</s>\n")}
 
 

@@ -5,6 +5,10 @@ Token sequences are arrays inside the row; only frequencies are shuffled, after
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,3 +111,39 @@ def common_prefix(a: Column, b: Column) -> Column:
     same = F.transform(F.slice(F.arrays_zip(a.alias("x"), b.alias("y")), F.lit(1), n), lambda z: z.x.eqNullSafe(z.y))
     p = F.array_position(same, F.lit(False))
     return F.when(p > 0, p - 1).otherwise(F.size(same)).cast("int")
+
+
+def span_mask(pattern: str, *, last_only: bool = False, ignore: tuple[str, ...] = ()) -> Callable[[Column], Column]:
+    """A function of a rendered text: 1 for each of its whitespace tokens in a span of the pattern's first group, 0
+    elsewhere. A span's tokens are those between the token counts of the texts before its two ends; ``ignore``: texts
+    whose tokens are never trained. An Arrow-batched function: expressions know no places of matches."""
+    compiled = re.compile(pattern)
+
+    def mask(text: str | None) -> list[int] | None:
+        if text is None:
+            return None
+        out = [0] * len(text.split())
+        spans = [m.span(1) for m in compiled.finditer(text)]
+        for value, found in ((1, spans[-1:] if last_only else spans), (0, [m.span() for t in ignore for m in re.finditer(re.escape(t), text)])):
+            for a, b in found:
+                first, last = len(text[:a].split()), len(text[:b].split())
+                out[first:last] = [value] * (last - first)
+        return out
+
+    @F.pandas_udf("array<int>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(mask)
+
+    return run
+
+
+def fingerprint(tokens: Column) -> Column:
+    """A digest of a token sequence, to be stored with what was computed from it."""
+    return F.md5(F.array_join(tokens.cast("array<string>"), ","))
+
+
+def alignment_status(tokens: Column, mask: Column, n_tokens: Column, n_scores: Column, stored: Column) -> Column:
+    """``scored`` if scores were made from this very sequence, else ``misaligned``; ``missing`` without scores. Counts
+    decide first, then the fingerprint, where one is stored."""
+    same = (n_tokens == F.size(tokens)) & (n_scores == trainable(mask))
+    return F.when(n_scores.isNull(), "missing").when(F.coalesce(same, F.lit(False)) & (stored.isNull() | (stored == "") | (stored == fingerprint(tokens))), "scored").otherwise("misaligned")
