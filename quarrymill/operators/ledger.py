@@ -87,6 +87,13 @@ def speedups(runs: DataFrame) -> DataFrame:
     return runs.join(base, "model", "left").withColumn("speedup", F.round(F.try_divide(F.col("throughput"), F.nullif("base", F.lit(0.0))), 4))
 
 
+def against_baseline(scores: DataFrame, group: list[str], method: str, baseline: str, value: str) -> DataFrame:
+    """(group, method, ratio): each method's value over that of the baseline in the same group; groups without one are
+    left out."""
+    base = scores.where(F.col(method) == baseline).select(*group, F.col(value).alias("_base"))
+    return scores.where(F.col(method) != baseline).join(base, group).select(*group, method, F.round(F.try_divide(value, "_base"), 4).alias("ratio"))
+
+
 def complete_sets(scores: DataFrame, group: list[str], member: str, value: str) -> DataFrame:
     """Mean of a value over groups that have every member that occurs anywhere."""
     n = scores.agg(F.count_distinct(member).alias("_n"))

@@ -130,6 +130,11 @@ def batches(ranked: DataFrame, rank: str, size: int, *, drop_last: bool = True,
     return b.where(F.col("batch") >= skip)
 
 
+def head(df: DataFrame, n: int, *order: str | Column) -> DataFrame:
+    """The first ``n`` rows in an order that makes rows unique; each task keeps its own first ``n``."""
+    return df.orderBy(*order).limit(n)
+
+
 def even_positions(total: Column, wanted: int) -> Column:
     """``wanted`` evenly spaced positions of 0..total-1, ends included, rounded half to even; all if there are fewer."""
     step = (total - 1) / F.lit(float(max(1, wanted - 1)))

@@ -117,16 +117,17 @@ def span_mask(pattern: str, *, last_only: bool = False, ignore: tuple[str, ...]
     """A function of a rendered text: 1 for each of its whitespace tokens in a span of the pattern's first group, 0
     elsewhere. A span's tokens are those between the token counts of the texts before its two ends; ``ignore``: texts
     whose tokens are never trained. An Arrow-batched function: expressions know no places of matches."""
-    compiled = re.compile(pattern)
+    compiled, token = re.compile(pattern), re.compile(r"[^ \t\n\x0b\f\r]+")  # blanks as in ``whitespace_tokens``
+    count = lambda t: sum(1 for _ in token.finditer(t))
 
     def mask(text: str | None) -> list[int] | None:
         if text is None:
             return None
-        out = [0] * len(text.split())
+        out = [0] * count(text)
         spans = [m.span(1) for m in compiled.finditer(text)]
         for value, found in ((1, spans[-1:] if last_only else spans), (0, [m.span() for t in ignore for m in re.finditer(re.escape(t), text)])):
             for a, b in found:
-                first, last = len(text[:a].split()), len(text[:b].split())
+                first, last = count(text[:a]), count(text[:b])
                 out[first:last] = [value] * (last - first)
         return out
 

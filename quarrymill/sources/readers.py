@@ -9,6 +9,7 @@ from __future__ import annotations
 import io
 import tarfile
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -125,11 +126,11 @@ def repeated_prompts(prompts: DataFrame, order: str, total: int, warm_up: int) -
 QUESTIONS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
-def question_set(name: str, *, question: str = "text", label: str = "label", category: str = "category", key: str = "item_id"):
+def question_set(name: str, *, question: str = "text", label: str = "label", category: str | None = "category", key: str = "item_id"):
     """Registers a local table as a benchmark's questions (id, question, label, category)."""
 
     def load(spark: SparkSession, path: str) -> DataFrame:
-        return spark.read.parquet(path).select(F.col(key).alias("id"), F.col(question).alias("question"), F.col(label).alias("label"), F.col(category).alias("category"))
+        return spark.read.parquet(path).select(F.col(key).alias("id"), F.col(question).alias("question"), F.col(label).alias("label"), (F.col(category) if category else F.lit(None).cast("string")).alias("category"))
 
     QUESTIONS[name] = load
     return load
@@ -138,6 +139,30 @@ def question_set(name: str, *, question: str = "text", label: str = "label", cat
 question_set("eval-items")
 
 
+@dataclass(frozen=True)
+class QuestionSet:
+    """A public benchmark: what its questions come with, and the scorer (see ``answers.SCORERS``) of its answers."""
+
+    kind: str
+    scorer: str
+    question: str = "question"
+    label: str = "answer"
+    category: str | None = None
+
+
+#: Public benchmarks with the columns of their question tables. Fixed values.
+QUESTION_SETS = {
+    "aime": QuestionSet("text", "contest-integer", "problem"), "ceval": QuestionSet("text", "first-letter", category="subject"), "financeqa": QuestionSet("text", "none"), "gpqa": QuestionSet("text", "marked"), "gsm8k": QuestionSet("text", "word-problem"), "humaneval": QuestionSet("text", "code", "prompt", "test"), "livecodebench": QuestionSet("text", "code", "question_content", "tests"),
+    "math500": QuestionSet("text", "maths", "problem", category="subject"), "mbpp": QuestionSet("text", "code", "text", "test_list"), "mmlu": QuestionSet("text", "marked", category="subject"), "mmstar": QuestionSet("picture", "choice", category="category"), "mtbench": QuestionSet("text", "none", "prompt", "reference", "category"), "simpleqa": QuestionSet("text", "none", "problem"),
+    "chartqa": QuestionSet("picture", "relaxed", category="type"), "charxiv": QuestionSet("picture", "reasoning"), "dynamath": QuestionSet("picture", "lenient", category="subject"), "mathverse": QuestionSet("picture", "lenient", category="problem_version"), "mathvision": QuestionSet("picture", "maths", category="subject"), "mathvista": QuestionSet("picture", "lenient", category="task"),
+    "mmbench": QuestionSet("picture", "choice", category="category"), "mmmu": QuestionSet("picture", "lenient", category="subfield"), "ocrbench": QuestionSet("picture", "holds", category="question_type"), "realworldqa": QuestionSet("picture", "lenient"), "seedbench-image": QuestionSet("picture", "choice", category="question_type_id"), "simplevqa": QuestionSet("picture", "lenient"),
+    "textvqa": QuestionSet("picture", "votes", label="answers"), "longvideobench": QuestionSet("video", "ranked-choice", category="question_category"), "moviechat": QuestionSet("video", "none"), "mvbench": QuestionSet("video", "ranked-choice", category="task"), "vdc": QuestionSet("video", "none", label="caption"), "videomme": QuestionSet("video", "ranked-choice", category="duration"),
+}
+
+for _name, _set in QUESTION_SETS.items():
+    question_set(_name, question=_set.question, label=_set.label, category=_set.category, key="id")
+
+
 def select_questions(spark: SparkSession, name: str, path: str, categories: list[str] | None = None) -> DataFrame:
     """Questions of a registered set, of the named categories only; unknown names fail and say what there is."""
     if name not in QUESTIONS:

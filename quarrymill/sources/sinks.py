@@ -64,9 +64,9 @@ def missing_images(records: DataFrame, image: str, files: DataFrame) -> DataFram
     return lost.groupBy(F.regexp_replace("path", r"/?[^/]*$", "").alias("folder")).agg(F.count("*").alias("n"))
 
 
-def generation_dump(questions: DataFrame, stats: DataFrame, entropy: DataFrame, key: str) -> DataFrame:
+def generation_dump(questions: DataFrame, stats: DataFrame, entropy: DataFrame, key: str | list[str], entropy_key: str | list[str] | None = None) -> DataFrame:
     """Questions with their request statistics and entropy, where there are any."""
-    return questions.join(stats, key, "left").join(entropy, key, "left")
+    return questions.join(stats, key, "left").join(entropy, entropy_key or key, "left")
 
 
 def metric_rows(run: str, step: Column, metrics: Column) -> list[Column]:
