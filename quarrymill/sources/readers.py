@@ -6,41 +6,53 @@ that a caller decides whether to fail, to drop or to look at them.
 
 from __future__ import annotations
 
-import io
 import tarfile
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from quarrymill.operators.sampling import global_rank
-
-
-def is_array(spark: SparkSession, path: str) -> bool:
-    """Whether the records at ``path`` are one JSON array: the first character that isn't white space decides. Reads
-    one line."""
-    first = spark.read.text(path).where(r"value RLIKE '\\S'").select(F.ltrim("value").alias("v")).limit(1).collect()
-    return bool(first) and first[0].v.startswith("[")
+from quarrymill.operators.sampling import capped_per_group, global_rank
 
 
 def read_records(spark: SparkSession, path: str, schema: T.StructType | str, *, on_error: str = "fail") -> DataFrame:
-    """Records of JSON lines or of one JSON array. Blank lines are skipped; lines that are no objects fail
-    (``fail``), are left out (``drop``), or come with their text in ``_broken`` and null fields (``keep``)."""
+    """Records of JSON lines or of one JSON array a file, told apart by each file's first character that isn't white
+    space. Blank lines are skipped; lines and elements that are no objects fail (``fail``), are left out (``drop``), or
+    come with their text in ``_broken`` and null fields (``keep``).
+
+    Lines are read in splits. A file that is an array is read whole, by one task, and its elements are told apart as
+    variants, so that one bad element costs no other; text that is no JSON array as a whole is one broken record. The
+    test is a filter of its own: it runs whichever columns are asked for."""
     schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
-    if is_array(spark, path):
-        return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST" if on_error == "fail" else "DROPMALFORMED").json(path)
-    lines = spark.read.text(path).where(r"value RLIKE '\\S'").select("value", F.col("_metadata.file_path").alias("_file"))
-    whole = F.coalesce(F.try_parse_json("value").isNotNull() & F.ltrim("value").startswith("{"), F.lit(False))
-    parsed = lines.withColumn("_ok", whole).withColumn("r", F.from_json("value", schema))
+    lines = spark.read.text(path).where(r"value RLIKE '\\S'").select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_at"))
+    first = lines.where("_at = 0").withColumn("_n", F.monotonically_increasing_id()).groupBy("_file").agg(F.min_by(F.ltrim("value").startswith("["), "_n").alias("_array"))
+    # left joins, and a test that names their flag: a test that may raise mustn't run below the join
+    arrays = F.broadcast(first.where("_array").select("_file", F.lit(True).alias("_is")))
+    single = lines.join(arrays, "_file", "left").select("_file", F.col("value").alias("_text"), F.col("_is").isNotNull().alias("_skip"))
+    whole = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("_file")).join(arrays, "_file", "left").select("_file", "value", F.col("_is").isNull().alias("_skip"), F.when(F.col("_is"), F.try_parse_json("value")).alias("_v"))
+    is_list = F.coalesce(F.expr("schema_of_variant(_v) LIKE 'ARRAY%'"), F.lit(False))
+    texts = F.when(is_list, F.expr("transform(cast(_v AS ARRAY<VARIANT>), x -> coalesce(to_json(x), 'null'))")).otherwise(F.array("value"))
+    elements = whole.where("NOT _skip").select("_file", F.explode(texts).alias("_text"), "_skip")
+    rows = single.unionByName(elements).withColumn("_ok", F.coalesce(F.try_parse_json("_text").isNotNull() & F.ltrim("_text").startswith("{"), F.lit(False)))
     if on_error == "fail":
-        stop = F.raise_error(F.concat(F.lit("not a JSON object in "), F.col("_file"), F.lit(": "), F.substring("value", 1, 80)))
-        return parsed.withColumn("r", F.when(F.col("_ok"), F.col("r")).otherwise(stop)).select("r.*")
-    if on_error == "drop":
-        return parsed.where("_ok").select("r.*")
-    return parsed.select("r.*", F.when(~F.col("_ok"), F.col("value")).alias("_broken"))
+        stop = F.raise_error(F.concat(F.lit("not a JSON object in "), F.col("_file"), F.lit(": "), F.substring("_text", 1, 80)))
+        rows = rows.where(F.when(F.col("_skip"), False).when(F.col("_ok"), True).otherwise(stop.cast("boolean")))
+    else:
+        rows = rows.where("NOT _skip AND _ok" if on_error == "drop" else "NOT _skip")
+    record = rows.withColumn("r", F.from_json("_text", schema))
+    return record.select("r.*") if on_error != "keep" else record.select("r.*", F.when(~F.col("_ok"), F.col("_text")).alias("_broken"))
+
+
+def read_dataset(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """Records of a ``.json`` or ``.jsonl`` file or of a folder; other suffixes are refused."""
+    name = path.rstrip("/").rpartition("/")[2]
+    if "." in name and not name.endswith((".json", ".jsonl")):
+        raise ValueError(f"not a .json or .jsonl file: {path}")
+    return read_records(spark, path, schema)
 
 
 def read_committed_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -73,6 +85,21 @@ def feature_files(spark: SparkSession, path: str, suffixes: tuple[str, ...] = ("
     return f.where(test)
 
 
+def feature_manifest(spark: SparkSession, path: str, run_id: str, required: list[str]) -> DataFrame:
+    """(sample_id, uri, bytes) of Parquet feature files, as ``feature_refs``; a file that lacks a required column fails."""
+    files = feature_files(spark, path, (".parquet",))
+    have = set(spark.read.option("mergeSchema", "false").parquet(path).columns)
+    lost = [c for c in required if c not in have]
+    if lost:
+        raise ValueError(f"feature files lack {lost}")
+    return feature_refs(files, run_id)
+
+
+def read_shards(spark: SparkSession, path: str, column: str, wanted: list[int]) -> DataFrame:
+    """Rows of some shards of a table written in folders by ``column``; others aren't listed or read."""
+    return spark.read.parquet(path).where(F.col(column).isin(wanted))
+
+
 def feature_refs(files: DataFrame, run_id: str) -> DataFrame:
     """(sample_id, uri, bytes): references ``<run>:<number>`` in path order."""
     ranked = global_rank(files, [F.col("path")], "n")
@@ -178,9 +205,15 @@ def select_questions(spark: SparkSession, name: str, path: str, categories: list
     return q.join(F.broadcast(wanted.withColumnRenamed("category", "_c")), F.lower("category") == F.col("_c"), "left_semi")
 
 
+def _files_of(path: str) -> tuple[pafs.FileSystem, str]:
+    """The Arrow file system of a path or URI, and the path in it."""
+    return pafs.FileSystem.from_uri(path if ":/" in path else f"file://{path}")
+
+
 class ArchiveSource(DataSource):
-    """``spark.read.format("tar").load(path)``: members of tar archives as (archive, name, size, content); one
-    partition an archive. Option ``content`` = false leaves contents out."""
+    """``spark.read.format("tar").load(path)``: members of tar archives as (archive, name, size, content), from a folder
+    or a single archive in any file system that Arrow opens; one partition an archive. An archive is read as a stream,
+    member by member. Option ``content`` = false leaves contents out."""
 
     @classmethod
     def name(cls) -> str:
@@ -198,30 +231,29 @@ class _ArchiveReader(DataSourceReader):
         self.path, self.content = path, content
 
     def partitions(self) -> list[InputPartition]:
-        import glob
-        import os
-
-        found = sorted(glob.glob(os.path.join(self.path, "*.tar*"))) if os.path.isdir(self.path) else sorted(glob.glob(self.path))
-        return [InputPartition(p) for p in found]
+        system, inner = _files_of(self.path)
+        info = system.get_file_info(inner)
+        found = [info] if info.type == pafs.FileType.File else system.get_file_info(pafs.FileSelector(inner, allow_not_found=True))
+        prefix = self.path[: len(self.path) - len(inner)] if self.path.endswith(inner) else ""
+        names = sorted(f.path for f in found if f.type == pafs.FileType.File and ".tar" in f.base_name and not f.base_name.startswith("."))
+        return [InputPartition(prefix + n) for n in names]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         if partition is None:
             return
-        with tarfile.open(partition.value) as archive:
+        system, inner = _files_of(partition.value)
+        with system.open_input_stream(inner, compression=None) as raw, tarfile.open(fileobj=raw, mode="r|*") as archive:
             for m in archive:
                 if m.isfile():
-                    data = archive.extractfile(m) if self.content else io.BytesIO()
-                    yield partition.value, m.name, m.size, data.read() if self.content else None
+                    yield partition.value, m.name, m.size, archive.extractfile(m).read() if self.content else None
 
 
 def quota_per_config(df: DataFrame, config: str, key: str, quotas: DataFrame, seed: int) -> DataFrame:
-    """Exactly ``quota`` rows of each configuration by seeded order; a configuration that falls short fails."""
-    from quarrymill.operators.sampling import ticket
-
+    """Exactly ``quota`` rows of each configuration in ``quotas(config, quota)`` by seeded order; one that falls short
+    fails. A hot configuration is cut by ticket before it is ranked (see ``sampling.capped_per_group``)."""
     have = df.groupBy(config).agg(F.count("*").alias("_have"))
-    checked = quotas.join(have, config, "left").withColumn("_q", F.when(F.coalesce("_have", F.lit(0)) >= F.col("quota"), F.col("quota")).otherwise(F.raise_error(F.concat(F.lit("too few rows in "), F.col(config)))))
-    ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy(config).orderBy(ticket(seed, key), key)))
-    return ranked.join(checked.select(config, "_q"), config).where(F.col("_r") <= F.col("_q")).drop("_r", "_q")
+    checked = quotas.join(have, config, "left").select(config, F.when(F.coalesce("_have", F.lit(0)) >= F.col("quota"), F.col("quota")).otherwise(F.raise_error(F.concat(F.lit("too few rows in "), F.col(config))).cast("long")).alias("quota"))
+    return capped_per_group(df, config, key, None, seed, checked)
 
 
 def require_columns(df: DataFrame, columns: dict[str, Column]) -> DataFrame:

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import io
+import tarfile
+import uuid
+
+import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,6 +86,40 @@ def prompt_artifact(df: DataFrame, full: str, prompt: str) -> DataFrame:
     return df.withColumn("target", F.when(ok, F.substring(F.col(full), F.length(prompt) + 1, F.lit(1 << 30))).otherwise(F.raise_error(F.lit("text doesn't begin with its prompt"))))
 
 
+def write_archives(df: DataFrame, path: str, group: str, name: str, content: str) -> DataFrame:
+    """Writes one tar archive ``<group>.tar`` a value of a bounded group, under another name first and moved when it is
+    whole; gives (archive, n)."""
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        system, inner = pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+        system.create_dir(inner, recursive=True)
+        part, whole = f"{inner}/.{key[0]}-{uuid.uuid4().hex}.part", f"{inner}/{key[0]}.tar"
+        with system.open_output_stream(part) as raw, tarfile.open(fileobj=raw, mode="w|") as archive:
+            for n, data in sorted(zip(rows[name], rows[content])):
+                member = tarfile.TarInfo(n)
+                member.size = len(data)
+                archive.addfile(member, io.BytesIO(data))
+        system.move(part, whole)
+        return pd.DataFrame({"archive": [f"{key[0]}.tar"], "n": [len(rows)]})
+
+    return df.groupBy(group).applyInPandas(run, "archive STRING, n BIGINT")
+
+
+def latest_version(spark: SparkSession, path: str) -> str:
+    """The folder of a table's last version."""
+    n = 0
+    while _exists(spark, f"{path}/v={n + 1}"):
+        n += 1
+    return f"{path}/v={n}"
+
+
+def rewrite_paths(spark: SparkSession, path: str, column: str, old: str, new: str) -> str:
+    """A table's next version with paths moved from one folder to another; the version before stays as the backup."""
+    df = spark.read.parquet(latest_version(spark, path))
+    moved = F.when(F.col(column).startswith(old.rstrip("/") + "/"), F.concat(F.lit(new.rstrip("/")), F.substring(F.col(column), len(old.rstrip("/")) + 1, 1 << 30))).otherwise(F.col(column))
+    return new_version(df.withColumn(column, moved), path)
+
+
 def new_version(df: DataFrame, path: str) -> str:
     """Writes ``df`` as the next version ``v=<n>`` of a table and gives its folder; earlier versions stay."""
     spark = df.sparkSession

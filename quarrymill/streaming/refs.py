@@ -8,7 +8,7 @@ acknowledgements are idempotent. State lives in Spark's state store, bounded by
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -64,7 +64,10 @@ def windowed_counts(events: DataFrame, at: str, kind: str, width: str, late: str
 
 
 class Ledger:
-    """Committed and acknowledged ids in ``folder/committed`` and ``folder/acked``, one part a batch."""
+    """Committed and acknowledged ids in ``folder/committed`` and ``folder/acked``, one part a batch.
+
+    A commit appends its batch and looks at no other: which delivery of an id counts is decided when the ledger is read
+    (the one of the first batch), so a batch costs its own rows however long the stream has run."""
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder
@@ -73,25 +76,22 @@ class Ledger:
         df.write.mode("overwrite").parquet(f"{self.folder}/{kind}/batch={batch_id}")
 
     def read(self, kind: str) -> DataFrame:
+        """Each id once, as its first batch has it."""
         schema = REF if kind == "committed" else "sample_id STRING"
         try:
-            return self.spark.read.schema(schema + ", batch INT").parquet(f"{self.folder}/{kind}").drop("batch")
+            rows = self.spark.read.schema(schema + ", batch INT").parquet(f"{self.folder}/{kind}")
         except Exception as e:
             if "PATH_NOT_FOUND" in str(e):
                 return self.spark.createDataFrame([], schema)
             raise
+        if kind == "acked":
+            return rows.select("sample_id").distinct()
+        rest = [c for c in rows.columns if c not in ("sample_id", "batch")]
+        return rows.groupBy("sample_id").agg(F.min_by(F.struct(*rest), "batch").alias("r")).select("sample_id", "r.*")
 
     def commit(self, refs: DataFrame, batch_id: int) -> None:
-        """Records references that aren't there yet. Parts of other batches decide what is there, so that the same
-        batch gives the same part when it runs again."""
-        fresh = refs.where("sample_id IS NOT NULL").dropDuplicates(["sample_id"])
-        try:
-            earlier = self.spark.read.schema("sample_id STRING, batch INT").parquet(f"{self.folder}/committed").where(F.col("batch") < batch_id)
-            fresh = fresh.join(earlier, "sample_id", "left_anti")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        self._write(fresh, "committed", batch_id)
+        """Records a batch of references, each once; the same batch gives the same part when it runs again."""
+        self._write(refs.where("sample_id IS NOT NULL").dropDuplicates(["sample_id"]), "committed", batch_id)
 
     def acknowledge(self, acks: DataFrame, batch_id: int) -> None:
         self._write(acks.where("sample_id IS NOT NULL").select("sample_id").distinct(), "acked", batch_id)
@@ -100,7 +100,36 @@ class Ledger:
         """After a restart: acknowledged references are released, the rest is queued again."""
         from quarrymill.operators.ledger import reconcile
 
-        return reconcile(self.read("committed"), self.read("acked"))
+        c = self.read("committed")
+        return reconcile(c, self.read("acked"))
+
+
+class ForgetfulLedger(Ledger):
+    """Keeps nothing: everything is fresh on every start."""
+
+    def _write(self, df: DataFrame, kind: str, batch_id: int) -> None:
+        pass
+
+
+class SessionLedger(Ledger):
+    """Keeps its batches in views of the session: for tests and runs that needn't survive."""
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        super().__init__(spark, folder)
+        self.held: dict[tuple[str, int], DataFrame] = {}
+
+    def _write(self, df: DataFrame, kind: str, batch_id: int) -> None:
+        self.held[kind, batch_id] = df.withColumn("batch", F.lit(batch_id))
+
+    def read(self, kind: str) -> DataFrame:
+        parts = [df for (k, _), df in sorted(self.held.items(), key=lambda x: x[0]) if k == kind]
+        if not parts:
+            return self.spark.createDataFrame([], REF if kind == "committed" else "sample_id STRING")
+        rows = parts[0]
+        for p in parts[1:]:
+            rows = rows.unionByName(p)
+        rest = [c for c in rows.columns if c not in ("sample_id", "batch")]
+        return rows.groupBy("sample_id").agg(F.min_by(F.struct(*rest), "batch").alias("r")).select("sample_id", "r.*") if rest else rows.select("sample_id").distinct()
 
 
 def run_ledger(refs: DataFrame, ledger: Ledger, checkpoint: str) -> StreamingQuery:
@@ -108,22 +137,44 @@ def run_ledger(refs: DataFrame, ledger: Ledger, checkpoint: str) -> StreamingQue
     return refs.writeStream.foreachBatch(ledger.commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def publish_prefix(batches: list[DataFrame], channel: str, drop: Callable[[DataFrame], None]) -> int:
+    """Publishes batches in order; at the first that fails, it and all behind it are handed to ``drop`` (their features
+    have no reader) and the number that was published is given back."""
+    for i, b in enumerate(batches):
+        try:
+            publish(b, channel)
+        except Exception:
+            for rest in batches[i:]:
+                drop(rest)
+            return i
+    return len(batches)
+
+
+def fixed_once(spark: SparkSession, path: str, value: int) -> int:
+    """A setting that the first caller fixes: later callers (a resumed run) must ask for the same value, else it fails."""
+    spark.range(1).select(F.lit(value).alias("value")).write.mode("ignore").parquet(path)
+    there = spark.read.parquet(path).first().value
+    if there != value:
+        raise ValueError(f"{path} was fixed at {there}, not {value}")
+    return there
+
+
 LATCH = "run_id STRING, refs BIGINT, bytes BIGINT, paused BOOLEAN"
 
 
 def pause_latch(events: DataFrame, *, high: int, low: int, high_bytes: int, low_bytes: int) -> DataFrame:
     """(run_id, refs, bytes, paused) after each batch of (run_id, at, refs, bytes) changes: paused at a high mark,
-    resumed only when both depths are at or below their low marks. One small state a run."""
+    resumed only when both depths are at or below their low marks. The state is three numbers a run, so it grows with
+    the runs that ever were (a processing-time timeout would keep a drain from ending). Rows are summed by columns."""
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, b, paused = state.get if state.exists else (0, 0, False)
         rows = pd.concat(list(parts)).sort_values("at", kind="stable")
-        for dn, db in zip(rows["refs"], rows["bytes"]):
-            n, b = n + int(dn), b + int(db)
-            if n >= high or b >= high_bytes:
-                paused = True
-            elif n <= low and b <= low_bytes:
-                paused = False
+        refs, size = n + rows["refs"].cumsum(), b + rows["bytes"].cumsum()
+        up, down = (refs >= high) | (size >= high_bytes), (refs <= low) & (size <= low_bytes)
+        crossed = up[up | down]
+        paused = bool(crossed.iloc[-1]) if len(crossed) else bool(paused)
+        n, b = int(refs.iloc[-1]), int(size.iloc[-1])
         state.update((n, b, paused))
         yield pd.DataFrame({"run_id": [key[0]], "refs": [n], "bytes": [b], "paused": [paused]})
 
