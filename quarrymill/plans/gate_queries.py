@@ -255,16 +255,11 @@ def category_subset(spark: SparkSession, d: str) -> DataFrame:
     return q.select(c("id").alias("item_id"), "category", lit(unknown).alias("unknown"))
 
 
-def question_sets(spark: SparkSession, d: str) -> DataFrame:
-    """The registered question sets: what they are made of and how they are scored."""
-    return spark.createDataFrame([(n, q.kind, q.scorer) for n, q in RD.QUESTION_SETS.items()], "name STRING, kind STRING, scorer STRING")
-
-
 QUERIES = {
     f.__name__: f
     for f in (
         sequence_checks, single_turns, first_samples, family_rows, run_thresholds, serving_checks, unscored_shares, counter_deltas, fallback_lookup, aligned_drafts, attention_measures, score_losses, lease_states, feature_states, in_flight, prefix_acks, step_horizons,
-        key_choices, head_rows, batch_slices, frame_windows, position_lookup, generation_records, method_pairs, rank_means, block_acceptance, pooled_entropy, request_totals, metric_scalars, warm_prompts, category_subset, question_sets,
+        key_choices, head_rows, batch_slices, frame_windows, position_lookup, generation_records, method_pairs, rank_means, block_acceptance, pooled_entropy, request_totals, metric_scalars, warm_prompts, category_subset,
     )
 }
 
