@@ -57,13 +57,12 @@ def wants_short_answer(content: Column) -> Column:
 def of_family(df: DataFrame, family: DataFrame, names: list[str]) -> DataFrame:
     """Rows whose id's configuration, or whose folded source, belongs to one of the named families; ``family(handle,
     family)`` is a small dimension. Handles are resolved against the sources that occur, not against every row."""
-    dim = family.where(F.col("family").isin(names)).select(X.fold_handle(F.col("handle")).alias("_h")).distinct()
-    keyed = df.withColumn("_i", X.fold_handle(X.config_base(X.id_config(F.col("id"))))).withColumn("_s", X.fold_handle(F.col("source")))
-    sources = keyed.select("_s").where("_s IS NOT NULL").distinct()
-    wanted = sources.join(F.broadcast(dim), F.contains(F.col("_s"), F.col("_h")), "left_semi").select(F.col("_s").alias("_k"))
-    by_id = keyed.join(F.broadcast(dim), F.col("_i") == F.col("_h"), "left_semi")
-    rest = keyed.join(F.broadcast(dim), F.col("_i") == F.col("_h"), "left_anti").join(F.broadcast(wanted), F.col("_s") == F.col("_k"), "left_semi")
-    return by_id.unionByName(rest).drop("_i", "_s")
+    dim = F.broadcast(family.where(F.col("family").isin(names)).select(X.fold_handle(F.col("handle")).alias("h")).distinct())
+    keyed = df.select(F.struct("*").alias("row"), X.fold_handle(X.config_base(X.id_config(F.col("id")))).alias("i"), X.fold_handle(F.col("source")).alias("s"))
+    wanted = keyed.select("s").where("s IS NOT NULL").distinct().join(dim, F.contains(F.col("s"), F.col("h")), "left_semi").select(F.col("s").alias("k"))
+    by_id = keyed.join(dim, F.col("i") == F.col("h"), "left_semi")
+    rest = keyed.join(dim, F.col("i") == F.col("h"), "left_anti").join(F.broadcast(wanted), F.col("s") == F.col("k"), "left_semi")
+    return by_id.unionByName(rest).select("row.*")
 
 
 def tensor_columns(schema: T.DataType, path: str = "") -> list[str]:

@@ -149,13 +149,27 @@ def add_index(df: DataFrame, *order: str) -> DataFrame:
     return within.join(F.broadcast(starts), "_part").withColumn("id", F.col("_start") + F.col("_rn") - 1).drop("_key", "_part", "_rn", "_start")
 
 
+def paired_turns(messages: Column) -> Column:
+    """(user_pos, question, answer) of each assistant turn whose previous non-system turn is a user turn, in order,
+    without leaving the row."""
+    start = F.expr("named_struct('user', cast(null as int), 'at', 0, 'out', cast(array() as array<struct<user_pos:int,pos:int>>))")
+
+    def step(s: Column, m: Column) -> Column:
+        passed = F.coalesce(m.role == "system", F.lit(True))
+        hit = (m.role == "assistant") & s.user.isNotNull()
+        return F.struct(
+            F.when(passed, s.user).when(m.role == "user", s.at).alias("user"), (s.at + 1).cast("int").alias("at"),
+            F.when(F.coalesce(hit, F.lit(False)), F.array_append(s.out, F.struct(s.user.alias("user_pos"), s.at.alias("pos")))).otherwise(s.out).alias("out"),
+        )
+
+    found = F.aggregate(messages, start, step).out
+    return F.transform(found, lambda p: F.struct(p.user_pos.alias("user_pos"), F.get(messages, p.user_pos).content.alias("question"), F.get(messages, p.pos).content.alias("answer")))
+
+
 def turn_pairs(conversations: DataFrame) -> DataFrame:
-    """(id, pair, user_pos, question, answer): each assistant turn whose previous non-system turn is a user turn."""
-    turns = conversations.select("id", F.posexplode("conversations").alias("pos", "m")).where("m.role <> 'system'")
-    w = Window.partitionBy("id").orderBy("pos")
-    seen = turns.select("id", "pos", "m.role", "m.content", F.lag("m.role").over(w).alias("before"), F.lag("m.content").over(w).alias("asked"), F.lag("pos").over(w).alias("user_pos"))
-    hit = seen.where("role = 'assistant' AND before = 'user'")
-    return hit.select("id", (F.row_number().over(w) - 1).cast("int").alias("pair"), "user_pos", F.col("asked").alias("question"), F.col("content").alias("answer"))
+    """(id, pair, user_pos, question, answer) of ``paired_turns``; no shuffle."""
+    p = conversations.select("id", F.posexplode(paired_turns(F.col("conversations"))).alias("pair", "p"))
+    return p.select("id", "pair", "p.user_pos", "p.question", "p.answer")
 
 
 def pair_counts(messages: Column) -> Column:
@@ -176,18 +190,19 @@ def pair_counts(messages: Column) -> Column:
 
 def single_pair_records(conversations: DataFrame) -> DataFrame:
     """One record per pair that doesn't repeat its prompt: id ``<id>-<k>``, k counting kept records, with exactly one
-    leading picture placeholder if the question has any."""
-    pairs = turn_pairs(conversations).where(~X.repeats_prompt(F.col("question"), F.col("answer")))
-    k = F.row_number().over(Window.partitionBy("id").orderBy("pair")) - 1
+    leading picture placeholder if the question has any. Pairs are kept and numbered in the row; no shuffle."""
+    kept = F.filter(paired_turns(F.col("conversations")), lambda p: ~X.repeats_prompt(p.question, p.answer))
+    pairs = conversations.select("id", F.posexplode(kept).alias("k", "p")).select("id", "k", "p.question", "p.answer")
     bare = F.trim(F.replace(F.col("question"), F.lit(X.IMAGE), F.lit("")))
     asked = F.when(F.contains(F.col("question"), F.lit(X.IMAGE)), F.concat(F.lit(X.IMAGE + "\n"), bare)).otherwise(F.col("question"))
-    return pairs.select(F.concat_ws("-", "id", k).alias("id"), exchange(asked, F.col("answer")).alias("conversations"))
+    return pairs.select(F.concat_ws("-", "id", "k").alias("id"), exchange(asked, F.col("answer")).alias("conversations"))
 
 
 def generation_events(conversations: DataFrame) -> DataFrame:
-    """One row per assistant turn: its history without the reasoning of earlier assistant turns, the turn intact."""
+    """One row per assistant turn: its history without the reasoning of earlier assistant turns, the turn intact. Turns
+    are numbered in the row; no shuffle."""
     turns = conversations.select("id", "conversations", F.posexplode("conversations").alias("pos", "m")).where("m.role = 'assistant'")
-    k = F.row_number().over(Window.partitionBy("id").orderBy("pos")) - 1
+    k = F.size(F.filter(F.slice("conversations", F.lit(1), F.col("pos")), lambda m: m.role == "assistant"))
     bare = F.transform(F.col("conversations"), lambda m, i: F.when((m.role == "assistant") & (i < F.col("pos")), m.withField("reasoning_content", F.lit(None).cast("string"))).otherwise(m))
     return turns.select(F.concat(F.col("id"), F.lit("#turn"), k.cast("string")).alias("event_id"), F.col("id").alias("source_id"), k.cast("int").alias("assistant_turn_index"), F.col("pos").cast("int").alias("msg_pos"), F.slice(bare, F.lit(1), F.col("pos") + 1).alias("conversations"))
 

@@ -82,7 +82,8 @@ def largest_remainder(sizes: DataFrame, group: str, size: str, total: int) -> Da
 def stratified(df: DataFrame, group: str, order: str, total: int) -> DataFrame:
     """The first ``quota`` rows of each stratum in ``order``, quotas by largest remainder."""
     quotas = largest_remainder(df.groupBy(group).agg(F.count("*").alias("n")), group, "n", total).select(group, "quota")
-    ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(order)))
+    # no quota is above the total: a constant limit, which each task applies before the shuffle
+    ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(order))).where(F.col("_r") <= total)
     return ranked.join(quotas, group).where(F.col("_r") <= F.col("quota")).drop("_r", "quota")
 
 

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrymill.session import cut_lineage
+
 
 def whitespace_tokens(text: Column) -> Column:
     """Runs of non-space characters; [] for null and blank texts."""
@@ -57,7 +59,8 @@ def token_counts(df: DataFrame) -> DataFrame:
 
 def reduced_vocabulary(counts: DataFrame, size: int) -> DataFrame:
     """(draft_id, token, n, coverage): the ``size`` most frequent tokens, ties by token, numbered in token order;
-    ``coverage``: their share of all occurrences."""
+    ``coverage``: their share of all occurrences. Counts are written once and used three times."""
+    counts = cut_lineage(counts)
     top = counts.orderBy(F.desc("n"), "token").limit(size)
     total = counts.agg(F.sum("n").alias("_all"))
     kept = top.agg(F.sum("n").alias("_kept"))

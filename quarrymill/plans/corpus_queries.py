@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrymill.functions import text as X
@@ -15,24 +15,41 @@ CONV = "tool_use_conversation"
 
 
 def once(spark: SparkSession, d: str, *columns: str) -> DataFrame:
-    """Each conversation once (redelivered rows are equal but for their arrival)."""
+    """Each conversation once (redelivered rows are equal but for their arrival), for small columns: what is asked for
+    is shuffled by id. What is made of messages comes from ``per_conversation``."""
     return table(spark, d, CONV).where("id IS NOT NULL").select("id", *columns).dropDuplicates(["id"])
 
 
+def conversations(spark: SparkSession, d: str) -> DataFrame:
+    """Every delivery of every conversation."""
+    return table(spark, d, CONV).where("id IS NOT NULL")
+
+
+def per_conversation(spark: SparkSession, d: str, **made) -> DataFrame:
+    """``id`` and what is made of each conversation, once: computed in the row first, so that only results are shuffled
+    to drop redelivered rows, never messages."""
+    return conversations(spark, d).select("id", *[c.alias(n) for n, c in made.items()]).dropDuplicates(["id"])
+
+
+def _heard() -> Column:
+    """Messages of users, assistants and systems that aren't blank: the input of pair and event operators."""
+    return F.filter("conversations", lambda m: m.role.isin("user", "assistant", "system") & ~X.is_blank(m.content))
+
+
 def _spoken(spark: SparkSession, d: str) -> DataFrame:
-    """Conversations of users and assistants only, blank messages left out: the input of pair and event operators."""
-    keep = F.filter("conversations", lambda m: m.role.isin("user", "assistant", "system") & ~X.is_blank(m.content))
-    return once(spark, d, "conversations").select("id", keep.alias("conversations")).where(F.size("conversations") > 0)
+    return conversations(spark, d).select("id", _heard().alias("conversations")).where(F.size("conversations") > 0)
+
+
+def _messages() -> Column:
+    return F.filter("conversations", lambda m: m.isNotNull())
 
 
 def conversation_errors(spark: SparkSession, d: str) -> DataFrame:
-    c = once(spark, d, "conversations")
-    return c.select("id", V.conversation_error(F.col("conversations")).alias("error"))
+    return per_conversation(spark, d, error=V.conversation_error(F.col("conversations")))
 
 
 def conversation_errors_regen(spark: SparkSession, d: str) -> DataFrame:
-    c = once(spark, d, "conversations")
-    return c.groupBy(V.conversation_error(F.col("conversations"), "regeneration").alias("error")).agg(F.count("*").alias("n"))
+    return per_conversation(spark, d, error=V.conversation_error(F.col("conversations"), "regeneration")).groupBy("error").agg(F.count("*").alias("n"))
 
 
 def row_validation(spark: SparkSession, d: str) -> DataFrame:
@@ -40,23 +57,19 @@ def row_validation(spark: SparkSession, d: str) -> DataFrame:
 
 
 def row_validation_policies(spark: SparkSession, d: str) -> DataFrame:
-    c = once(spark, d, "status", "conversations")
-    out = None
-    for reasoning in ("any", "forbidden", "required"):
-        part = c.select(F.lit(reasoning).alias("policy"), V.row_error(reasoning=reasoning, strict_markers=True).isNull().alias("valid")).groupBy("policy").agg(F.sum(F.col("valid").cast("long")).alias("n_valid"), F.count("*").alias("n_rows"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    policies = ("any", "forbidden", "required")
+    valid = F.array(*[F.struct(F.lit(r).alias("policy"), V.row_error(reasoning=r, strict_markers=True).isNull().alias("valid")) for r in policies])
+    return per_conversation(spark, d, v=valid).select(F.explode("v").alias("v")).groupBy("v.policy").agg(F.sum(F.col("v.valid").cast("long")).alias("n_valid"), F.count("*").alias("n_rows"))
 
 
 def sanitize(spark: SparkSession, d: str) -> DataFrame:
-    s = once(spark, d, "conversations").withColumn("s", V.sanitized(F.col("conversations")))
-    return s.select("id", F.coalesce(F.size("s.kept"), F.lit(0)).alias("n_kept"), F.col("s.reason").alias("reason"))
+    s = V.sanitized(F.col("conversations"))
+    return per_conversation(spark, d, n_kept=F.coalesce(F.size(s.kept), F.lit(0)), reason=s.reason)
 
 
 def answer_filter(spark: SparkSession, d: str) -> DataFrame:
-    c = once(spark, d, "conversations", "image", "status")
     video = F.coalesce(F.ltrim("image").startswith("["), F.lit(False))
-    return c.select("id", V.answer_reject_reason(F.col("conversations"), video, F.when(F.col("status") == "success", "length")).alias("filtered_reason"))
+    return per_conversation(spark, d, filtered_reason=V.answer_reject_reason(F.col("conversations"), video, F.when(F.col("status") == "success", "length")))
 
 
 def reject_histogram(spark: SparkSession, d: str) -> DataFrame:
@@ -64,16 +77,15 @@ def reject_histogram(spark: SparkSession, d: str) -> DataFrame:
 
 
 def status_routes(spark: SparkSession, d: str) -> DataFrame:
-    c = once(spark, d, "status", "conversations")
-    return V.route(c, V.conversation_error(F.col("conversations"))).groupBy("sink").agg(F.count("*").alias("n"))
+    c = per_conversation(spark, d, status=F.col("status"), error=V.conversation_error(F.col("conversations")))
+    return V.route(c, F.col("error")).groupBy("sink").agg(F.count("*").alias("n"))
 
 
 def sharegpt_projection(spark: SparkSession, d: str) -> DataFrame:
     """A chat export made of the conversations (tool and system turns under their own names), projected back."""
-    c = once(spark, d, "conversations")
-    turns = F.transform(F.filter("conversations", lambda m: m.isNotNull()), lambda m: F.struct(F.when(m.role == "user", "human").when(m.role == "assistant", "gpt").otherwise(m.role).alias("from"), m.content.alias("value")))
-    p = P.sharegpt(c.select("id", turns.alias("conversations")))
-    return p.select("id", F.size("conversations").alias("n_messages"), F.col("skipped").cast("int").alias("skipped"), F.get("conversations", 0).role.alias("first_role"))
+    turns = F.transform(_messages(), lambda m: F.struct(F.when(m.role == "user", "human").when(m.role == "assistant", "gpt").otherwise(m.role).alias("from"), m.content.alias("value")))
+    p = P.sharegpt(conversations(spark, d).select("id", turns.alias("conversations")))
+    return p.select("id", F.size("conversations").alias("n_messages"), F.col("skipped").cast("int").alias("skipped"), F.get("conversations", 0).role.alias("first_role")).dropDuplicates(["id"])
 
 
 def instruction_projection(spark: SparkSession, d: str) -> DataFrame:
@@ -84,27 +96,27 @@ def instruction_projection(spark: SparkSession, d: str) -> DataFrame:
 
 def turn_pairs(spark: SparkSession, d: str) -> DataFrame:
     p = P.turn_pairs(_spoken(spark, d))
-    return p.select("id", "pair", F.col("user_pos").cast("int").alias("user_pos"), F.length("question").alias("question_chars"), F.length("answer").alias("answer_chars"))
+    return p.select("id", "pair", F.col("user_pos").cast("int").alias("user_pos"), F.length("question").alias("question_chars"), F.length("answer").alias("answer_chars")).dropDuplicates(["id", "pair"])
 
 
 def pair_accounting(spark: SparkSession, d: str) -> DataFrame:
     p = _spoken(spark, d).select("id", P.pair_counts(F.col("conversations")).alias("p"))
-    return p.select("id", "p.pairs", "p.unanswered", "p.orphans")
+    return p.select("id", "p.pairs", "p.unanswered", "p.orphans").dropDuplicates(["id"])
 
 
 def single_pair_records(spark: SparkSession, d: str) -> DataFrame:
     r = P.single_pair_records(_spoken(spark, d))
-    return r.select("id", F.md5(F.element_at("conversations", 1).content).alias("question_md5"), F.md5(F.element_at("conversations", 2).content).alias("answer_md5"))
+    return r.select("id", F.md5(F.element_at("conversations", 1).content).alias("question_md5"), F.md5(F.element_at("conversations", 2).content).alias("answer_md5")).dropDuplicates(["id"])
 
 
 def generation_events(spark: SparkSession, d: str) -> DataFrame:
-    e = P.generation_events(once(spark, d, "conversations"))
+    e = P.generation_events(conversations(spark, d).select("id", "conversations"))
     reasons = F.size(F.filter("conversations", lambda m: (m.role == "assistant") & ~X.is_blank(m.reasoning_content)))
-    return e.select("event_id", "source_id", "assistant_turn_index", F.size("conversations").alias("n_messages"), reasons.alias("n_reasoned"))
+    return e.select("event_id", "source_id", "assistant_turn_index", F.size("conversations").alias("n_messages"), reasons.alias("n_reasoned")).dropDuplicates(["event_id"])
 
 
 def event_summary(spark: SparkSession, d: str) -> DataFrame:
-    per = once(spark, d, "conversations").select(V.assistant_count(F.col("conversations")).alias("n"))
+    per = per_conversation(spark, d, n=V.assistant_count(F.col("conversations")))
     return per.agg(
         F.count("*").alias("input_rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("output_rows"), F.sum((F.col("n") == 0).cast("long")).alias("skipped_rows"),
         F.sum((F.col("n") > 1).cast("long")).alias("multi_turn_rows"), F.round(F.try_divide(F.sum("n"), F.sum((F.col("n") > 0).cast("long"))), 6).alias("average_turns"),
@@ -112,14 +124,11 @@ def event_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def truncated_turns(spark: SparkSession, d: str) -> DataFrame:
-    c = once(spark, d, "conversations")
-    t = P.truncate_turns(F.filter("conversations", lambda m: m.isNotNull()))
-    return c.select("id", F.coalesce(F.size(t), F.lit(0)).alias("n_kept"))
+    return per_conversation(spark, d, n_kept=F.coalesce(F.size(P.truncate_turns(_messages())), F.lit(0)))
 
 
 def rendered_prompts(spark: SparkSession, d: str) -> DataFrame:
-    c = once(spark, d, "conversations")
-    return c.select("id", F.md5(P.render(F.filter("conversations", lambda m: m.isNotNull()))).alias("prompt_md5"))
+    return per_conversation(spark, d, prompt_md5=F.md5(P.render(_messages())))
 
 
 def think_markers(spark: SparkSession, d: str) -> DataFrame:
@@ -128,13 +137,13 @@ def think_markers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def degenerate_documents(spark: SparkSession, d: str) -> DataFrame:
-    doc = table(spark, d, "documents").where(F.length("text") >= 4000)
+    doc = table(spark, d, "documents")
     return doc.select("doc_id", F.round(X.distinct_chunk_share(F.col("text")), 6).alias("distinct_share"), X.is_degenerate(F.col("text")).alias("degenerate"))
 
 
 def prompt_leaks(spark: SparkSession, d: str) -> DataFrame:
     p = P.turn_pairs(_spoken(spark, d))
-    return p.where(X.repeats_prompt(F.col("question"), F.col("answer"))).select("id", "pair")
+    return p.where(X.repeats_prompt(F.col("question"), F.col("answer"))).select("id", "pair").dropDuplicates(["id", "pair"])
 
 
 def image_placeholders(spark: SparkSession, d: str) -> DataFrame:
@@ -202,7 +211,7 @@ def fixed_batches(spark: SparkSession, d: str) -> DataFrame:
 
 
 def frame_positions(spark: SparkSession, d: str) -> DataFrame:
-    c = once(spark, d, "conversations").select("id", F.coalesce(F.size("conversations"), F.lit(0)).alias("total")).where("total > 0")
+    c = per_conversation(spark, d, total=F.coalesce(F.size("conversations"), F.lit(0))).where("total > 0")
     return c.select("id", F.array_join(O.even_positions(F.col("total"), 5).cast("array<string>"), ",").alias("positions"))
 
 
@@ -222,12 +231,12 @@ def corpus_profile(spark: SparkSession, d: str) -> DataFrame:
     """Rows, share, index-quantiles of answer length and share of tiny answers by source of the conversations."""
     from quarrymill.operators import metrics as M
 
-    p = P.turn_pairs(_spoken(spark, d)).select(X.fold_handle(X.id_config(F.col("id"))).alias("source"), F.length("answer").alias("chars"))
+    p = P.turn_pairs(_spoken(spark, d)).select("id", "pair", X.fold_handle(X.id_config(F.col("id"))).alias("source"), F.length("answer").alias("chars")).dropDuplicates(["id", "pair"])
     return M.length_profile(p, "source", "chars")
 
 
 def context_lengths(spark: SparkSession, d: str) -> DataFrame:
-    n = once(spark, d, "conversations").select(F.aggregate("conversations", F.lit(0), lambda s, m: s + F.coalesce(X.word_count(m.content), F.lit(0))).alias("n")).where("n IS NOT NULL")
+    n = per_conversation(spark, d, n=F.aggregate("conversations", F.lit(0), lambda s, m: s + F.coalesce(X.word_count(m.content), F.lit(0)))).where("n IS NOT NULL")
     return n.agg(F.min("n").alias("least"), F.max("n").alias("most"), F.round(F.avg("n"), 6).alias("average"))
 
 
@@ -236,10 +245,9 @@ def stable_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def call_sanitizer(spark: SparkSession, d: str) -> DataFrame:
-    c = once(spark, d, "conversations").select("id", F.posexplode("conversations").alias("msg_pos", "m")).where(F.size("m.tool_calls") > 0)
-    s = c.select("id", "msg_pos", P.sanitized_calls(F.col("m.tool_calls")).alias("calls"))
-    empty = F.size(F.filter("calls", lambda x: x.arguments == "{}"))
-    return s.select(F.size("calls").alias("n_calls"), empty.alias("n_empty")).agg(F.sum("n_calls").alias("n_calls"), F.sum("n_empty").alias("n_empty"))
+    calls = F.flatten(F.transform("conversations", lambda m: F.coalesce(P.sanitized_calls(m.tool_calls), P.sanitized_calls(F.slice(m.tool_calls, 1, 0)), F.expr("cast(array() as array<struct<id:string,type:string,name:string,arguments:string>>)"))))
+    s = per_conversation(spark, d, n_calls=F.coalesce(F.size(calls), F.lit(0)), n_empty=F.coalesce(F.size(F.filter(calls, lambda x: x.arguments == "{}")), F.lit(0)))
+    return s.agg(F.sum("n_calls").alias("n_calls"), F.sum("n_empty").alias("n_empty"))
 
 
 QUERIES = {
@@ -375,8 +383,8 @@ SELECT id, md5(array_to_string(list_transform(list_filter(conversations, lambda
 """,
     "think_markers": "SELECT CAST(sum(CASE WHEN regexp_matches(lower(coalesce(text, '')), '<think>|</think>|<\\|channel>|<channel\\|>|<\\|think\\|>') THEN 1 ELSE 0 END) AS BIGINT) AS marked, count(*) AS n_docs FROM documents",
     "degenerate_documents": """
-WITH x AS (SELECT doc_id, len(list_distinct(list_transform(range(0, CAST(ceil(length(text) / 64.0) AS BIGINT)), lambda k: substring(text, k * 64 + 1, 64)))) / ceil(length(text) / 64.0) AS s FROM documents WHERE length(text) >= 4000)
-SELECT doc_id, round(s, 6) AS distinct_share, s < 0.25 AS degenerate FROM x
+WITH x AS (SELECT doc_id, len(list_distinct(list_transform(range(0, CAST(ceil(length(text) / 64.0) AS BIGINT)), lambda k: substring(text, k * 64 + 1, 64)))) / nullif(ceil(length(text) / 64.0), 0) AS s, length(text) >= 4000 AS long FROM documents)
+SELECT doc_id, round(s, 6) AS distinct_share, coalesce(long AND s < 0.25, false) AS degenerate FROM x
 """,
     "prompt_leaks": f"WITH {_SPOKEN} SELECT id, CAST(pair AS INTEGER) AS pair FROM pr WHERE {_leak('question', 'answer')}",
     "image_placeholders": f"""
@@ -401,6 +409,10 @@ x AS (SELECT epoch, p AS position, false AS padded, item_id FROM e UNION ALL SEL
 SELECT CAST(epoch AS INTEGER) AS epoch, position, CAST(position % 8 AS INTEGER) AS rank, padded, item_id FROM x
 """,
     "fixed_batches": "SELECT b AS batch, min(item_id) AS first_item, count(*) AS n FROM (SELECT item_id, CAST(floor((row_number() OVER (ORDER BY item_id) - 1) / 16.0) AS BIGINT) AS b FROM eval_items) WHERE b < (SELECT floor(count(*) / 16.0) FROM eval_items) AND b >= 2 GROUP BY b",
+    "frame_positions": f"""
+WITH {_C}, n AS (SELECT id, len(conversations) AS n FROM c WHERE len(conversations) > 0)
+SELECT id, array_to_string(CASE WHEN n <= 5 THEN range(0, n) ELSE list_transform(range(0, 5), lambda i: CAST(round_even(i * (n - 1) / 4.0, 0) AS BIGINT)) END, ',') AS positions FROM n
+""",
     "style_draw": """
 WITH u AS (SELECT doc_id, CAST(('0x' || substring(md5('9|' || doc_id), 1, 13)) AS BIGINT)::DOUBLE / 4503599627370496.0 AS u FROM documents)
 SELECT CASE WHEN u < 0.4 THEN 'low' WHEN u < 0.8 THEN 'medium' ELSE 'high' END AS style, count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS sum_ids FROM u GROUP BY 1

@@ -12,8 +12,8 @@ from quarrymill.operators import metrics as M
 from quarrymill.operators import sampling as O
 from quarrymill.operators import scores as S
 from quarrymill.operators import tokens as T
-from quarrymill.plans.corpus_queries import once
-from quarrymill.session import table
+from quarrymill.plans.corpus_queries import conversations, once
+from quarrymill.session import cut_lineage, table
 
 
 def requests(spark: SparkSession, d: str) -> DataFrame:
@@ -238,8 +238,8 @@ def back_pressure(spark: SparkSession, d: str) -> DataFrame:
 
 
 def mixed_batches(spark: SparkSession, d: str) -> DataFrame:
-    c = L.dispatch(L.committed(table(spark, d, "sample_refs")), [F.col("published_at"), F.col("sample_id")], ranks=2, per_rank=8)
-    j = c.join(L.committed(table(spark, d, "sample_refs")), "sample_id")
+    refs = cut_lineage(L.committed(table(spark, d, "sample_refs")))
+    j = L.dispatch(refs, [F.col("published_at"), F.col("sample_id")], ranks=2, per_rank=8).join(refs, "sample_id")
     return L.homogeneous(j, "window").select("window", "n", "strategies", "versions", "ok")
 
 
@@ -250,7 +250,7 @@ def missing_features(spark: SparkSession, d: str) -> DataFrame:
 
 def question_set_match(spark: SparkSession, d: str) -> DataFrame:
     e = O.global_rank(table(spark, d, "eval_items").select("item_id", "text"), [F.col("item_id")], "p")
-    other = e.select("p", F.when(F.col("p") == 123, F.lit("changed")).otherwise(F.col("text")).alias("text")).where("p <> 499")
+    other = e.select("p", F.when(F.col("p") == 123, F.lit("changed")).otherwise(F.col("text")).alias("text"))
     return L.first_difference(e, other, "p", "text")
 
 
@@ -264,13 +264,13 @@ def reduced_vocabulary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def trainable_samples(spark: SparkSession, d: str) -> DataFrame:
-    m = once(spark, d, "conversations").where(F.size("conversations") > 0).select("id", T.supervised(F.filter("conversations", lambda x: x.isNotNull())).alias("s")).select("id", "s.*").where(F.size("tokens") > 0)
-    return T.materialised(m, max_length=256, min_trainable=64).select("id", F.size("tokens").alias("n_tokens"), T.trainable(F.col("mask")).alias("n_trainable"))
+    m = conversations(spark, d).where(F.size("conversations") > 0).select("id", T.supervised(F.filter("conversations", lambda x: x.isNotNull())).alias("s")).select("id", "s.*").where(F.size("tokens") > 0)
+    return T.materialised(m, max_length=256, min_trainable=64).select("id", F.size("tokens").alias("n_tokens"), T.trainable(F.col("mask")).alias("n_trainable")).dropDuplicates(["id"])
 
 
 def last_turn_masks(spark: SparkSession, d: str) -> DataFrame:
-    m = once(spark, d, "conversations").where(F.size("conversations") > 0).select("id", T.supervised(F.filter("conversations", lambda x: x.isNotNull()), last_only=True).alias("s"))
-    return m.select("id", F.size("s.tokens").alias("n_tokens"), T.trainable(F.col("s.mask")).alias("n_trainable"))
+    m = conversations(spark, d).where(F.size("conversations") > 0).select("id", T.supervised(F.filter("conversations", lambda x: x.isNotNull()), last_only=True).alias("s"))
+    return m.select("id", F.size("s.tokens").alias("n_tokens"), T.trainable(F.col("s.mask")).alias("n_trainable")).dropDuplicates(["id"])
 
 
 def padded_batches(spark: SparkSession, d: str) -> DataFrame:
@@ -460,7 +460,7 @@ WITH {_REF}, i AS (SELECT *, row_number() OVER (ORDER BY published_at, sample_id
 SELECT CAST(floor(i / 16) AS BIGINT) AS "window", count(*) AS n, count(DISTINCT strategy) AS strategies, count(DISTINCT schema_version) AS versions, count(DISTINCT strategy) <= 1 AND count(DISTINCT schema_version) <= 1 AS ok FROM i WHERE floor(i / 16) < (SELECT floor(count(*) / 16) FROM ref) GROUP BY 1
 """,
     "missing_features": f"WITH {_REF}, k AS (SELECT unnest(['input_ids', 'loss_mask', 'hidden_state']) AS feature) SELECT feature, count(*) AS n FROM ref, k WHERE NOT list_contains(coalesce(map_keys(feature_keys), []), feature) OR NOT list_contains(coalesce(map_keys(feature_specs), []), feature) GROUP BY 1",
-    "question_set_match": "SELECT 500 AS n_a, 499 AS n_b, 123 AS first",
+    "question_set_match": "WITH p AS (SELECT text, row_number() OVER (ORDER BY item_id) - 1 AS p FROM eval_items), o AS (SELECT p, text AS a, CASE WHEN p = 123 THEN 'changed' ELSE text END AS b FROM p) SELECT count(*) AS n_a, count(*) AS n_b, min(p) FILTER (WHERE a <> b) AS first FROM o",
     "token_frequency": f"WITH {_TOK}, u AS (SELECT unnest(t) AS token FROM tt WHERE role = 'assistant') SELECT token, count(*) AS n FROM u GROUP BY 1",
     "reduced_vocabulary": f"""
 WITH {_TOK}, u AS (SELECT unnest(t) AS token FROM tt WHERE role = 'assistant'), g AS (SELECT token, count(*) AS n FROM u GROUP BY 1), k AS (SELECT * FROM g ORDER BY n DESC, token LIMIT 500)
