@@ -90,6 +90,13 @@ p AS (SELECT * FROM o WHERE k <= n - ceil(0.6 * n) + 1),
 x AS (SELECT DISTINCT a.id AS id_a, b.id AS id_b, a.n AS na, b.n AS nb FROM p a JOIN p b ON a.r = b.r AND a.id < b.id),
 links AS (SELECT id_a, id_b FROM x JOIN r a ON a.id = id_a JOIN r b ON b.id = id_b AND a.r = b.r GROUP BY id_a, id_b, na, nb HAVING count(*) >= 0.6 * (na + nb - count(*)))"""
 
+_LEAKS = r"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
+e AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM eval_items WHERE text IS NOT NULL),
+dr AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+4], ' ') AS r FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
+er AS (SELECT DISTINCT item_id, array_to_string(w[i:i+4], ' ') AS r FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM e WHERE len(w) >= 5)),
+n AS (SELECT item_id, count(*) AS n FROM er GROUP BY item_id),
+leaks AS (SELECT doc_id, item_id, n, count(*) AS k FROM dr JOIN er USING (r) JOIN n USING (item_id) GROUP BY doc_id, item_id, n HAVING count(*) >= 0.4 * n)"""
+
 #: DuckDB SQL. p4 and p5 are given as their definition; the others have no SQL (see tests/llm).
 SQL = {
     "p7_words": r"""
@@ -97,14 +104,8 @@ WITH w AS (SELECT doc_id, text, regexp_extract_all(lower(text), '[\p{L}\p{N}]+')
 SELECT doc_id, CASE WHEN len(l) > 0 THEN len(w) ELSE 0 END AS n_words, CASE WHEN len(w) > 0 THEN round_even(list_sum(list_transform(w, lambda x: length(x))) / len(w), 6) ELSE 0.0 END AS mean_word_length,
 CASE WHEN len(l) > 0 THEN round_even(len(list_filter(l, lambda x: regexp_matches(rtrim(x), '[.?!。？！…]["''»”)\]` ]*$'))) / len(l), 6) ELSE 0.0 END AS punctuated_lines FROM w
 """,
-    "p5_found": r"""
-WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
-e AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM eval_items WHERE text IS NOT NULL),
-dr AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+4], ' ') AS r FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
-er AS (SELECT DISTINCT item_id, array_to_string(w[i:i+4], ' ') AS r FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM e WHERE len(w) >= 5)),
-n AS (SELECT item_id, count(*) AS n FROM er GROUP BY item_id)
-SELECT doc_id, item_id FROM dr JOIN er USING (r) JOIN n USING (item_id) GROUP BY doc_id, item_id, n HAVING count(*) >= 0.4 * n
-""",
+    "p5_found": f"{_LEAKS} SELECT doc_id, item_id FROM leaks",
+    "p5_items": f"{_LEAKS} SELECT item_id, count(*) AS n_docs, max(round(k / n::DOUBLE, 6)) AS most_contained FROM leaks GROUP BY item_id",
     "p4_found": f"WITH {_WORDS}, {_RUNS}, {_ALIKE} SELECT id_a, id_b FROM links",
     "p4_weighted": f"WITH {_WORDS}, {_MULTI}, {_ALIKE} SELECT id_a, id_b FROM links",
     "p4_groups": f"""
