@@ -238,6 +238,12 @@ def metric_scalars(spark: SparkSession, d: str) -> DataFrame:
     return flat.select(*K.metric_rows("bench", c("block_size"), c("m")), "run_id").select("run_id", "run", c("step").cast("int").alias("step"), "name", "value")
 
 
+def vocabulary_offsets(spark: SparkSession, d: str) -> DataFrame:
+    """Numbers of a reduced vocabulary and their offsets to the full one; the used ids are the prompt sizes that occur."""
+    used = E.requests(spark, d).where("prompt_tokens IS NOT NULL").select(c("prompt_tokens").alias("token_id")).distinct()
+    return T.vocabulary_maps(used, "token_id").select(c("draft_id").cast("int").alias("draft_id"), "token_id", c("offset").cast("int").alias("offset"))
+
+
 def warm_prompts(spark: SparkSession, d: str) -> DataFrame:
     """Prompts sent in turn, without those of the warm-up."""
     e = table(spark, d, "eval_items").select("item_id")
@@ -259,7 +265,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         sequence_checks, single_turns, first_samples, family_rows, run_thresholds, serving_checks, unscored_shares, counter_deltas, fallback_lookup, aligned_drafts, attention_measures, score_losses, lease_states, feature_states, in_flight, prefix_acks, step_horizons,
-        key_choices, head_rows, batch_slices, frame_windows, position_lookup, generation_records, method_pairs, rank_means, block_acceptance, pooled_entropy, request_totals, metric_scalars, warm_prompts, category_subset,
+        key_choices, head_rows, batch_slices, frame_windows, position_lookup, generation_records, method_pairs, rank_means, block_acceptance, pooled_entropy, request_totals, metric_scalars, vocabulary_offsets, warm_prompts, category_subset,
     )
 }
 
@@ -365,6 +371,7 @@ WITH {_P}, t AS (SELECT run_id, CAST(sum(completion_tokens) AS BIGINT) AS tokens
 SELECT run_id, requests, tokens, mean_accept, round(tokens / nullif(elapsed, 0), 4) AS tokens_per_second FROM t LEFT JOIN e USING (run_id)
 """,
     "metric_scalars": "SELECT run_id, 'bench' AS run, block_size AS step, unnest(['train/acc/0', 'train/acc/1', 'train/loss/0']) AS name, unnest([block_size / 2.0::DOUBLE, block_size / 4.0::DOUBLE, 0.5::DOUBLE]) AS value FROM runs WHERE block_size IS NOT NULL",
+    "vocabulary_offsets": f"WITH {_R}, u AS (SELECT DISTINCT prompt_tokens AS t FROM r WHERE prompt_tokens IS NOT NULL), n AS (SELECT t, row_number() OVER (ORDER BY t) - 1 AS k FROM u) SELECT CAST(k AS INTEGER) AS draft_id, t AS token_id, CAST(t - k AS INTEGER) AS offset FROM n",
     "warm_prompts": "WITH p AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS p FROM eval_items), n AS (SELECT count(*) AS n FROM eval_items) SELECT s AS sent, item_id FROM range(70, 1270) t(s), n JOIN p ON p.p = s % n.n",
     "category_subset": "SELECT item_id, category, 'unknown categories [''nothing'']' AS unknown FROM eval_items WHERE lower(category) IN ('token', 'metric')",
 }
