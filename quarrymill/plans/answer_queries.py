@@ -33,7 +33,8 @@ def generations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def answer_choices(spark: SparkSession, d: str) -> DataFrame:
-    return generations(spark, d).select("item_id", A.choice(F.col("generation")).alias("prediction"), A.first_letter(F.col("label")).alias("label"))
+    """Letters of the items that are answered by a letter."""
+    return generations(spark, d).where("label RLIKE '^[A-D]$'").select("item_id", A.choice(F.col("generation")).alias("prediction"), A.first_letter(F.col("label")).alias("label"))
 
 
 def ranked_choices(spark: SparkSession, d: str) -> DataFrame:
@@ -199,7 +200,7 @@ _OPTIONS = "regexp_extract_all(text, '(?m)^\\(?([A-J])[.):]\\)?\\s+(.+)$', {0})"
 _O = f"o AS (SELECT item_id, {_OPTIONS.format(1)} AS l, {_OPTIONS.format(2)} AS x FROM eval_items), q AS (SELECT item_id, x AS o FROM o WHERE len(l) >= 2 AND l = string_split('ABCDEFGHIJ', '')[1:len(l)])"
 
 SQL = {
-    "answer_choices": f"WITH {_G}, {_CHOICE} SELECT item_id, chosen AS prediction, nullif(regexp_extract(upper(label), '([A-D])', 1), '') AS label FROM c",
+    "answer_choices": f"WITH {_G}, {_CHOICE} SELECT item_id, chosen AS prediction, label FROM c WHERE regexp_matches(label, '^[A-D]$')",
     "ranked_choices": f"""
 WITH r AS (SELECT item_id, {RESPONSE} AS t FROM (SELECT *, substring('ABCDEFGH', CAST(item_id % 8 + 1 AS INTEGER), 1) AS l FROM eval_items)),
 p AS (SELECT item_id, ' ' || trim(trim(trim(trim(trim(trim(trim(trim(trim(t), ','), '.'), '!'), '?'), ';'), ':'), ''''), '"') || ' ' AS x FROM r WHERE trim(t) <> ''),
